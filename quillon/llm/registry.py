@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_counts", "warc", "mixing")
+MODULES = ("token_counts", "ngram_lm", "language", "warc", "quality", "url_filter", "mixing")
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _name in MODULES:

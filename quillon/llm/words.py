@@ -83,8 +83,8 @@ class Block:
         return len(self.rows)
 
 
-def blocks(texts: pa.Array, lower: bool = False, chunk: int = CHUNK) -> Iterator[Block]:
-    """Blocks of about ``chunk`` bytes over a batch's texts (null: empty). A longer text makes a block of its own."""
+def blocks_raw(texts: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after, offsets, bytes) of some whole texts at a time, about ``chunk`` bytes (null: empty). A longer text comes alone."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string())
@@ -98,12 +98,16 @@ def blocks(texts: pa.Array, lower: bool = False, chunk: int = CHUNK) -> Iterator
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     a = 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + chunk, "right")) - 1)
-        b = min(b, n)
-        yield Block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], np.arange(a, b), lower)
+        b = min(n, max(a + 1, int(np.searchsorted(offsets, offsets[a] + chunk, "right")) - 1))
+        yield a, b, offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
         a = b
 
 
+def blocks(texts: pa.Array, lower: bool = False, chunk: int = CHUNK) -> Iterator[Block]:
+    for a, b, offsets, data in blocks_raw(texts, chunk):
+        yield Block(data, offsets, np.arange(a, b), lower)
+
+
 def shingles(block: Block, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word windows of each text, and the text of each. A text of fewer words (but one) has one window."""
     counts = np.diff(block.first)
