@@ -34,6 +34,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: No record header is longer, so a damaged one doesn't make the reader scan a whole archive for its end.
 HEADER_LIMIT = 1 << 16
 NO_ID = (1 << 63) - 1
+#: About 16 MB of digests.
+BROADCAST_ROWS = 200_000
 READ_SCHEMA = "archive string, offset long, kind string, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary, note string"
 
 
@@ -184,15 +186,16 @@ def base32_sha1(content: Column) -> Column:
 def with_roles(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, payload_digest, payload_bytes, and first_id: the id whose record holds the payload.
 
-    Payloads of fewer than least_bytes bytes are always responses. The payload crosses the network once at most, in the join with the
-    digests that occur more than once; a digest that many rows hold is split by AQE's skew join.
+    Payloads of fewer than least_bytes bytes are always responses. The digests that occur more than once are broadcast while they are few
+    (BROADCAST_ROWS); beyond that, payloads cross the network once, in a join whose hot digests AQE splits.
     """
     payload = F.coalesce(pages[f"`{payload_col}`"], F.lit(""))
     rows = pages.select(pages[f"`{id_col}`"].cast("long").alias("page_id"), pages[f"`{url_col}`"].alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     shared = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
     shared = shared.agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("page_id", F.lit(NO_ID))).alias("first_id")).filter("n > 1").drop("n")
-    return rows.join(shared, "payload_digest", "left")
+    shared = common.written(shared, "warc-shared")
+    return rows.join(common.broadcast_if_small(shared, BROADCAST_ROWS), "payload_digest", "left")
 
 
 def _record_text(row_id: Column, url: Column, payload: Column, digest: Column, size: Column, first_id: Column) -> Column:
