@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def filter_rows(df: DataFrame, keeps, *more) -> DataFrame:
+    """The rows, with all their columns, for which ``keeps(texts, *more)`` is true; it gets Arrow arrays of each batch's values of ``text`` and the columns ``more``.
+
+    Columns are passed by place, so their names don't matter.
+    """
+    n = len(df.columns)
+    shown = df.select("*", *[c.alias(f"more__{k}") for k, c in enumerate(more)])
+    at = df.columns.index("text")
+    types = df.schema
+
+    def run(batches):
+        for batch in batches:
+            mask = keeps(batch.column(at), *[batch.column(n + k) for k in range(len(more))])
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(n)], names=[f.name for f in types]).filter(pa.array(mask))
+
+    return shown.mapInArrow(run, types)
+
+
 def needs(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns; other columns, whatever their names, play no part."""
     return df.select(*[df[f"`{c}`"] for c in columns])

@@ -191,6 +191,16 @@ def predict(docs: DataFrame, model: Model | None, *keep: Column, text_col: str =
     return kept.mapInArrow(run, ddl)
 
 
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows, with all columns, whose language is told: neither ``und`` nor ambiguous. Without a model there is none to tell."""
+
+    def keeps(texts: pa.Array, letters: pa.Array) -> np.ndarray:
+        told = np.array(letters.fill_null(False))
+        return told & ~model.predict(texts)[2] if model is not None and len(told) else np.zeros(len(told), bool)
+
+    return common.filter_rows(docs, keeps, docs["text"].rlike(r"\p{L}"))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 

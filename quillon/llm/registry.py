@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_counts", "ngram_lm", "language", "warc", "quality", "near_duplicates", "url_filter", "mixing")
+MODULES = ("token_counts", "ngram_lm", "language", "warc", "quality", "near_duplicates", "substring_dedup", "url_filter", "mixing", "decontaminate")
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _name in MODULES:
