@@ -21,8 +21,9 @@ class SearchConfig:
 
 
 def tokenize(text: Column) -> Column:
-    """Maximal runs of ASCII letters and digits, lower-cased; all else separates. Extracted first, so that no other letter lower-cases into ASCII."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z0-9]+)"), F.lit(1)), lambda t: F.lower(t))
+    """Maximal runs of ASCII letters and digits, lower-cased; all else separates. Only A-Z are lowered, so that no other letter becomes an ASCII one."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(lowered, F.lit("([a-z0-9]+)"), F.lit(1))
 
 
 def query_terms(query: str) -> list[str]:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 QUERY_BLOCK = 4096
 SAMPLE_ROWS = 20_000
+#: Distances held at once by a task.
+CELLS = 1 << 20
 
 
 def _sum(c: Column) -> Column:
@@ -92,11 +94,13 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col:
             for batch in batches:
                 if not len(batch) or not len(ids):
                     continue
-                d = _distances(q, _matrix(batch.column("v")), metric)
-                best_d = np.concatenate([best_d, d], 1)
-                best_i = np.concatenate([best_i, np.broadcast_to(batch.column("id").to_numpy(), d.shape)], 1)
-                order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
+                x, rid, step = _matrix(batch.column("v")), batch.column("id").to_numpy(), max(k, CELLS // len(ids))
+                for a in range(0, len(x), step):
+                    d = _distances(q, x[a : a + step], metric)
+                    best_d = np.concatenate([best_d, d], 1)
+                    best_i = np.concatenate([best_i, np.broadcast_to(rid[a : a + step], d.shape)], 1)
+                    order = np.lexsort((best_i, best_d), axis=1)[:, :k]
+                    best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
             if best_d.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_d.shape[1])), pa.array(best_i.reshape(-1)), pa.array(best_d.reshape(-1))], ["query_id", "id", "distance"])
 

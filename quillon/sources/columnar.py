@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions.ranking import global_rank
+
 
 def sum_less_than(df: DataFrame, column: str, threshold) -> DataFrame:
     """The sum of the values below a threshold (0 for none); the comparison is pushed into the scan."""
@@ -34,12 +36,23 @@ def with_file_part(df: DataFrame) -> DataFrame:
 
 
 def rle_encode(df: DataFrame, value: str, order: str, group: str | None = None) -> DataFrame:
-    """Runs of equal values in the given order: (group,) run, start, value, length. With a group, runs are found in each group by itself, in parallel."""
-    keys = [group] if group else []
-    w = W.partitionBy(*keys).orderBy(order)
+    """Runs of equal values in the given order: (group,) run, start, value, length. With a group, each group's runs are found by themselves, in parallel.
+
+    Without, rows are numbered by range partitioning and compared with the row before by a join on the number, so no task orders the whole table.
+    """
+    if group is None:
+        rows = global_rank(df.select(F.col(order).alias("start"), F.col(value).alias("value")), "at", F.col("start").asc())
+        before = rows.select((F.col("at") + 1).alias("at_"), F.col("value").alias("value_"))
+        firsts = rows.join(before, F.col("at") == F.col("at_"), "left").filter(F.col("at_").isNull() | ~F.col("value").eqNullSafe(F.col("value_")))
+        runs = global_rank(firsts.select("start", "value", "at"), "run", F.col("at").asc())
+        following = runs.select((F.col("run") - 1).alias("run_"), F.col("at").alias("end_"))
+        n = rows.count()
+        length = F.coalesce("end_", F.lit(n + 1)) - F.col("at")
+        return runs.join(following, F.col("run") == F.col("run_"), "left").select("run", "start", "value", length.alias("length"))
+    w = W.partitionBy(group).orderBy(order)
     changed = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("long")
     runs = df.withColumn("changed_", changed).withColumn("run", F.sum("changed_").over(w))
-    return runs.groupBy(*keys, "run").agg(F.min(order).alias("start"), F.first(value).alias("value"), F.count(F.lit(1)).alias("length"))
+    return runs.groupBy(group, "run").agg(F.min(order).alias("start"), F.first(value).alias("value"), F.count(F.lit(1)).alias("length"))
 
 
 def rle_decode(runs: DataFrame) -> DataFrame:
