@@ -62,15 +62,16 @@ def filter_rows(df: DataFrame, keeps, *more) -> DataFrame:
 
     Columns are passed by place, so their names don't matter.
     """
-    n = len(df.columns)
+    n, n_more = len(df.columns), len(more)
     shown = df.select("*", *[c.alias(f"more__{k}") for k, c in enumerate(more)])
     at = df.columns.index("text")
     types = df.schema
+    names = [f.name for f in types]
 
     def run(batches):
         for batch in batches:
-            mask = keeps(batch.column(at), *[batch.column(n + k) for k in range(len(more))])
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(n)], names=[f.name for f in types]).filter(pa.array(mask))
+            mask = keeps(batch.column(at), *[batch.column(n + k) for k in range(n_more)])
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(n)], names=names).filter(pa.array(mask))
 
     return shown.mapInArrow(run, types)
 
