@@ -1,32 +1,19 @@
-"""Shared parts of the training-data operators: working folder, written intermediate tables, table access."""
+"""Shared parts of the training-data operators."""
 
 from __future__ import annotations
 
-import uuid
 from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]+"
 
+from quillon.sources.connectors import table
+from quillon.sources.work import broadcast_if_small, work_path, written
 
-def work_root(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``). Only a local session may do without the setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir("/tmp/checkpoints/quillon")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+__all__ = ["SPACE", "WORD", "broadcast_if_small", "filter_rows", "needs", "posix_path", "shuffle_partitions", "table", "work_path", "written"]
 
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{work_root(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def posix_path(path: str) -> str:
@@ -37,22 +24,6 @@ def posix_path(path: str) -> str:
     return url.path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` (a written table, so counting is cheap) with a broadcast hint if it has ``rows`` rows at most."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -62,15 +62,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     classes = signed.filter("size > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.first("size").alias("size"), F.first("signature").alias("signature"))
     classes = common.written(classes, "near-classes")
 
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+    def band(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if len(batch):
             sig = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("signature")])
-            h = N.band_hashes(sig, bands, rows)
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1)), pa.array(np.repeat(batch.column("key").to_numpy(), bands))], ["band", "key"])
+            yield N.band_hashes(sig, bands, rows).reshape(-1), np.repeat(batch.column("key").to_numpy(), bands)
 
-    groups = N.candidate_groups(classes.select("key", "signature").mapInArrow(band, "band long, key long"))
+    groups = N.candidate_groups(classes.select("key", "signature"), band)
     wanted = classes.select("key", "copies", "rep", "size").join(groups.withColumnRenamed("id", "key"), "key")
     wanted = common.written(N.with_blocks(wanted, "size").drop("size"), "near-wanted")
 

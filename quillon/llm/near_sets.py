@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm import common
+from quillon.llm import common, packed
 from quillon.llm.components import components, forest
 from quillon.llm.words import U, mix, runs_hash
 
@@ -124,10 +124,38 @@ def _intersections(sets_a, sets_b, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([len(np.intersect1d(sets_a[i], sets_b[k], assume_unique=True)) for i, k in zip(p, q, strict=True)], np.int64)
 
 
-def candidate_groups(bands: DataFrame) -> DataFrame:
-    """(id, root) of the keys that share a band with another, from rows (band, key). A common band's keys are tied to its least key, not to each other."""
-    shared = bands.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least <> most").select(F.col("band").alias("band_"), "least")
-    return components(bands.join(shared, F.col("band") == F.col("band_")).filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")))
+def _ties(bands: np.ndarray, keys: np.ndarray, is_tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each band's least key, and a tie (key, least key) for every other key of the band; ties come and go as rows with is_tie 1.
+
+    What ties keys together stays the same, but a band has one row afterwards, however many keys it had.
+    """
+    tied = is_tie > 0
+    a, b = [bands[tied]], [keys[tied]]
+    band, key = bands[~tied], keys[~tied]
+    order = np.lexsort((key, band))
+    band, key = band[order], key[order]
+    first = np.flatnonzero(np.append(True, band[1:] != band[:-1])) if len(band) else np.zeros(0, np.int64)
+    least = np.repeat(key[first], np.diff(np.append(first, len(band))))
+    other = key != least
+    a.append(key[other])
+    b.append(least[other])
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if sum(map(len, a)) else np.zeros((0, 2), np.int64)
+    n = len(pairs)
+    return np.concatenate([band[first], pairs[:, 0]]), np.concatenate([key[first], pairs[:, 1]]), np.concatenate([np.zeros(len(first), np.int8), np.ones(n, np.int8)])
+
+
+def candidate_groups(rows: DataFrame, produce) -> DataFrame:
+    """(id, root) of the keys that share a band with another. produce: (bands, keys), int64 and of equal length, from a batch of rows."""
+
+    def marked(batch: pa.RecordBatch):
+        for bands, keys in produce(batch):
+            yield bands, keys, np.zeros(len(bands), np.int8)
+
+    def ties(bands: np.ndarray, keys: np.ndarray, is_tie: np.ndarray) -> pa.RecordBatch:
+        t = is_tie > 0
+        return pa.RecordBatch.from_arrays([pa.array(bands[t]), pa.array(keys[t])], ["a", "b"])
+
+    return components(packed.shuffle(rows, marked, _ties, ties, (np.int64, np.int64, np.int8), "a long, b long"))
 
 
 def with_blocks(groups: DataFrame, size: str) -> DataFrame:

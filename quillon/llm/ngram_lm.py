@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import common
+from quillon.llm.packed import n_shards, pack, unpack
 from quillon.llm.words import U, Block, blocks, mix
 
 BEGIN, END = U(0x51ED270B13C7F0AD), U(0xA3C59AC2F1D40E67)
@@ -55,19 +56,6 @@ def word_shards(word: np.ndarray, n: int) -> np.ndarray:
     return ((word >> U(32)) * U(n)) >> U(32)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
-
-
-def _unpack(blob: memoryview, *types) -> list[np.ndarray]:
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    sizes, at, out = np.frombuffer(blob, np.int64, n, 8), 8 * (n + 1), []
-    for size, t in zip(sizes, types, strict=True):
-        out.append(np.frombuffer(blob, t, int(size), at))
-        at += int(size) * np.dtype(t).itemsize
-    return out
-
-
 def _blobs(table: pa.Table, kind: int) -> list[memoryview]:
     return [memoryview(b.as_buffer()) for k, b in zip(table.column("kind").to_pylist(), table.column("blob"), strict=True) if k == kind]
 
@@ -180,9 +168,8 @@ class Scorer:
 
 def train(texts: DataFrame, folder: str) -> BigramModel:
     """texts: one column ``text``. Writes the model's files to ``folder``."""
-    spark, path = texts.sparkSession, common.posix_path(folder)
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(common.shuffle_partitions(spark), min(size, 1 << 50) // SHARD_BYTES if size < 1 << 60 else 1)
+    path = common.posix_path(folder)
+    n = n_shards(texts, SHARD_BYTES)
     n_words = max(1, n // 2)
     schema = "shard int, kind int, blob binary"
 
@@ -202,7 +189,7 @@ def train(texts: DataFrame, folder: str) -> BigramModel:
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             c = context[a:b]
             starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-            blobs.append(_pack(c[starts], np.diff(np.append(starts, b - a)).astype(np.uint32), token[a:b], counts[a:b]))
+            blobs.append(pack(c[starts], np.diff(np.append(starts, b - a)).astype(np.uint32), token[a:b], counts[a:b]))
         return rows(present, [0] * len(present), blobs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,14 +200,15 @@ def train(texts: DataFrame, folder: str) -> BigramModel:
                 held.append((c, t))
                 size_ += len(t)
                 if size_ >= FLUSH_TOKENS:
-                    yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                    c, t = map(np.concatenate, zip(*held, strict=True))
                     held, size_ = [], 0
+                    yield packed(c, t)
         if held:
             yield packed(*map(np.concatenate, zip(*held, strict=True)))
 
     def merge_pairs(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        parts = [_unpack(b, U, np.uint32, U, np.uint32) for b in _blobs(table, 0)]
+        parts = [unpack(b, U, np.uint32, U, np.uint32) for b in _blobs(table, 0)]
         context = np.concatenate([np.repeat(c, r) for c, r, _, _ in parts])
         token, counts = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
         keys = pair_keys(context, token)
@@ -233,22 +221,22 @@ def train(texts: DataFrame, folder: str) -> BigramModel:
         _save(path, f"counts-{shard}", counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
         as_context = _sum_by(context, counts, *((counts == k).astype(np.int64) for k in (1, 2)), (counts > 2).astype(np.int64))
         as_word = _sum_by(token, np.ones(len(token), np.int64), counts)
-        out_shard, kinds, blobs = [0], [2], [_pack(_counts_of_counts(counts))]
+        out_shard, kinds, blobs = [0], [2], [pack(_counts_of_counts(counts))]
         for kind, (words, *values) in ((0, as_context), (1, as_word)):
             own = word_shards(words, n_words).astype(np.int64)
             for s in np.unique(own):
                 a, b = np.searchsorted(own, [s, s + 1])
                 out_shard.append(s)
                 kinds.append(kind)
-                blobs.append(_pack(words[a:b], *(v[a:b] for v in values)))
+                blobs.append(pack(words[a:b], *(v[a:b] for v in values)))
         return pa.Table.from_batches([rows(out_shard, kinds, blobs)])
 
     def merge_words(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         i8 = np.int64
-        contexts = [_unpack(b, U, i8, i8, i8, i8) for b in _blobs(table, 0)]
-        tokens = [_unpack(b, U, i8, i8) for b in _blobs(table, 1)]
-        pair_counts = sum((_unpack(b, i8)[0] for b in _blobs(table, 2)), np.zeros(4, i8))
+        contexts = [unpack(b, U, i8, i8, i8, i8) for b in _blobs(table, 0)]
+        tokens = [unpack(b, U, i8, i8) for b in _blobs(table, 1)]
+        pair_counts = sum((unpack(b, i8)[0] for b in _blobs(table, 2)), np.zeros(4, i8))
         join = lambda parts, k, t=i8: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t)
         cw, *cv = _sum_by(join(contexts, 0, U), *(join(contexts, k) for k in (1, 2, 3, 4)))
         tw, *tv = _sum_by(join(tokens, 0, U), *(join(tokens, k) for k in (1, 2)))
@@ -281,7 +269,7 @@ def score(docs: DataFrame, model: BigramModel, *keep: Column, text_col: str = "t
     """The kept columns, n_tokens, n_known, train_tokens, base_score, score and perplexity of every whole text."""
     kept = docs.select(*keep, docs[f"`{text_col}`"].alias("text__"))
     names = [f.name for f in kept.schema if f.name != "text__"]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text__")
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name != "text__")
     more = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +282,7 @@ def score(docs: DataFrame, model: BigramModel, *keep: Column, text_col: str = "t
             out = [n.astype(np.int64), known.astype(np.int64), np.full(len(n), model.tokens, np.int64), base, own, 10 ** np.minimum(-own / n, 300)]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *map(pa.array, out)], [*names, *more])
 
-    return kept.mapInArrow(run, f"{ddl}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return kept.mapInArrow(run, f"{ddl}n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm import common
+from quillon.llm import common, packed
 from quillon.llm import near_sets as N
 from quillon.llm.components import components
 from quillon.llm.near_duplicates import _binary
@@ -36,7 +36,8 @@ WIDTH = 5
 THRESHOLD = 0.8
 ROWS = 2
 RECALL = 0.995
-BROADCAST_KEYS = 1_000_000
+#: 32 MB of keys.
+BROADCAST_KEYS = 4_000_000
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
@@ -83,12 +84,20 @@ class Paragraphs:
         self.key = runs_hash(block.hashes, self.a, self.b).view(np.int64)
         self.block = block
 
-    def sets(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct sorted windows, cuts) of some paragraphs."""
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window hashes, their paragraph) of some paragraphs."""
         n = self.b[which] - self.a[which] - WIDTH + 1
         owner = np.repeat(np.arange(len(which)), n)
         s = self.a[which][owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        values, _, starts, _ = N.distinct_sets(runs_hash(self.block.hashes, s, s + WIDTH), owner)
+        return runs_hash(self.block.hashes, s, s + WIDTH), owner
+
+    def signatures(self, which: np.ndarray, n_hashes: int) -> np.ndarray:
+        values, owner = self.windows(which)
+        return N.minhash(values, np.searchsorted(owner, np.arange(len(which))), n_hashes)
+
+    def sets(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct sorted windows, cuts) of some paragraphs."""
+        values, _, starts, _ = N.distinct_sets(*self.windows(which))
         return values, np.append(starts, len(values))
 
 
@@ -103,15 +112,13 @@ def _near_keys(texts: DataFrame, threshold: float, recall: float, rows: int) ->
     bands = N.tune(threshold, recall, rows)
     n_hashes = bands * rows
 
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, p in _paragraphs(batches):
+    def band(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, p in _paragraphs([batch]):
             _, which = np.unique(p.key, return_index=True)
             if len(which):
-                values, cuts = p.sets(which)
-                h = N.band_hashes(N.minhash(values, cuts[:-1], n_hashes), bands, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1)), pa.array(np.repeat(p.key[which], bands))], ["band", "key"])
+                yield N.band_hashes(p.signatures(which, n_hashes), bands, rows).reshape(-1), np.repeat(p.key[which], bands)
 
-    groups = common.written(N.candidate_groups(texts.select("text").mapInArrow(band, "band long, key long")), "paragraph-groups")
+    groups = common.written(N.candidate_groups(texts.select("text"), band), "paragraph-groups")
     n = groups.count()
     listed = None
     if n <= BROADCAST_KEYS:
@@ -148,14 +155,34 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     texts = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text")).filter("id IS NOT NULL")
     near = common.written(_near_keys(texts, threshold, recall, rows), "paragraph-near")
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, p in _paragraphs(batches):
-            ids = batch.column("id").to_numpy()[p.row]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, p.place.astype(np.int32), p.key)], ["id", "place", "key"])
-
-    every = texts.mapInArrow(places, "id long, place int, key long")
-    # occurrences are counted exactly, but a document's place once: repeated rows of an id are one document
-    firsts = every.groupBy("key").agg(F.min(F.struct("id", "place")).alias("first"), F.max(F.struct("id", "place")).alias("last"))
+    # keys that occur once and are tied to no other play no part; where the tied ones are too many to be told to all tasks, the join tells
+    tied_keys = None
+    if near.count() <= BROADCAST_KEYS:
+        tied_keys = spark.sparkContext.broadcast(np.sort(near.select("key").toArrow().column("key").to_numpy()))
+
+    def places(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for _, p in _paragraphs([batch]):
+            ids, place = batch.column("id").to_numpy()[p.row], p.place.astype(np.int32)
+            yield p.key, ids, place, ids, place
+
+    def ends(key, id_, place, last_id, last_place):
+        """Each key's first and last place."""
+        order = np.lexsort((place, id_, key))
+        first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(key) else order
+        low = order[first]
+        order = np.lexsort((last_place, last_id, key))
+        high = order[np.append(first[1:], len(key)) - 1] if len(key) else order
+        return key[low], id_[low], place[low], last_id[high], last_place[high]
+
+    def repeated(key, id_, place, last_id, last_place) -> pa.RecordBatch:
+        keep = (id_ != last_id) | (place != last_place)
+        keep |= np.isin(key, tied_keys.value) if tied_keys is not None else True
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, id_, place, last_id, last_place)], ["key", "id1", "place1", "id2", "place2"])
+
+    # a document's place counts once: repeated rows of an id are one document
+    types = (np.int64, np.int64, np.int32, np.int64, np.int32)
+    firsts = packed.shuffle(texts, places, ends, repeated, types, "key long, id1 long, place1 int, id2 long, place2 int")
+    firsts = firsts.select("key", F.struct(F.col("id1").alias("id"), F.col("place1").alias("place")).alias("first"), F.struct(F.col("id2").alias("id"), F.col("place2").alias("place")).alias("last"))
     tied = firsts.join(near.withColumnRenamed("key", "key_"), F.col("key") == F.col("key_"), "left").filter("root IS NOT NULL OR first <> last")
     tied = common.written(tied.select("key", F.coalesce("root", "key").alias("root"), "first", "last"), "paragraph-keys")
     several = tied.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first <> last").select(F.col("root").alias("root_"), F.col("first.id").alias("first_id"), F.col("first.place").alias("first_place"))
