@@ -28,7 +28,7 @@ from quillon.llm import common, packed
 from quillon.llm import near_sets as N
 from quillon.llm.components import components
 from quillon.llm.near_duplicates import _binary
-from quillon.llm.words import Block, blocks, runs_hash
+from quillon.llm.words import Block, blocks, member, runs_hash
 
 MIN_WORDS = 6
 RUN_WORDS = 30
@@ -129,7 +129,7 @@ def _near_keys(texts: DataFrame, threshold: float, recall: float, rows: int) ->
         for _, p in _paragraphs(batches):
             keys, which = np.unique(p.key, return_index=True)
             if listed is not None:
-                which = which[np.isin(keys, listed.value, assume_unique=True)]
+                which = which[member(keys, listed.value)]
             which = np.array([w for w in which if int(p.key[w]) not in sent], np.int64)
             if not len(which):
                 continue
@@ -176,7 +176,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
 
     def repeated(key, id_, place, last_id, last_place) -> pa.RecordBatch:
         keep = (id_ != last_id) | (place != last_place)
-        keep |= np.isin(key, tied_keys.value) if tied_keys is not None else True
+        keep |= member(key, tied_keys.value) if tied_keys is not None else True
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, id_, place, last_id, last_place)], ["key", "id1", "place1", "id2", "place2"])
 
     # a document's place counts once: repeated rows of an id are one document
@@ -192,7 +192,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, p in _paragraphs(batches):
-            w = np.flatnonzero(np.isin(p.key, known.value)) if known is not None else np.arange(len(p.key))
+            w = np.flatnonzero(member(p.key, known.value)) if known is not None else np.arange(len(p.key))
             if len(w):
                 ids = batch.column("id").to_numpy()[p.row[w]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, p.place[w].astype(np.int32), p.key[w], p.start[w], p.end[w], (p.b - p.a)[w])], ["id", "place", "key", "start", "end", "n_words"])

@@ -54,6 +54,15 @@ def runs_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out ^ mix((ends - starts).astype(U)))
 
 
+def member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values
+
+
 class Block:
     """Some whole texts: their bytes, the words' places and hashes, and for each text its first word.
 
