@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.sources.connectors import table
 from quillon.sources.work import broadcast_if_small, work_path, written
 
-__all__ = ["SPACE", "WORD", "broadcast_if_small", "filter_rows", "needs", "posix_path", "shuffle_partitions", "table", "work_path", "written"]
+__all__ = ["SPACE", "WORD", "apply_arrow", "broadcast_if_small", "filter_rows", "map_arrow", "needs", "posix_path", "shuffle_partitions", "table", "work_path", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,6 +25,46 @@ def posix_path(path: str) -> str:
     return url.path
 
 
+#: Texts are long: by Spark's default of 64 MB a batch, executor and worker would each hold several such batches.
+BATCH_BYTES = "8m"
+_DEFAULT_BATCH = "67108864b"
+
+
+def _release() -> None:
+    """Give freed memory back to the system: workers wait for their next task with what they have."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with small batches (unless the session says otherwise) and workers that give memory back after each task."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", _DEFAULT_BATCH) == _DEFAULT_BATCH:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(run, schema)
+
+
+def apply_arrow(df: DataFrame, key: str, function, schema: str) -> DataFrame:
+    """``applyInArrow`` on the rows of each key, likewise."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return function(table)
+        finally:
+            _release()
+
+    return df.groupBy(key).applyInArrow(run, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -44,7 +85,7 @@ def filter_rows(df: DataFrame, keeps, *more) -> DataFrame:
             mask = keeps(batch.column(at), *[batch.column(n + k) for k in range(n_more)])
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(n)], names=names).filter(pa.array(mask))
 
-    return shown.mapInArrow(run, types)
+    return map_arrow(shown, run, types)
 
 
 def needs(df: DataFrame, *columns: str) -> DataFrame:

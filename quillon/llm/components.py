@@ -59,7 +59,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every node of the edges (a, b), root being the least id of the component. Nodes in no edge aren't listed."""
-    now = common.written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(_contract, "a long, b long"), "edges")
+    plain = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
+    now = common.written(common.map_arrow(plain, _contract, "a long, b long"), "edges")
     seen = None
     for _ in range(ROUNDS):
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

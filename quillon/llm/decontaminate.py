@@ -105,7 +105,7 @@ def _seed_counts(docs: DataFrame, shared) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(distinct[seen].view(np.int64)), pa.array(total[seen])], ["seed", "n"])
 
-    return docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    return common.map_arrow(docs.select("text"), count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
 
 
 def _candidates(items: Items, block) -> Iterator[tuple[int, int, int, int]]:
@@ -185,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                     columns = [pa.array([items.ids[i] for _, i in best], pa.int64()), pa.array([s for s, _ in best.values()]), pa.array([n for _, n in best.values()], pa.int64())]
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(at), *columns], names)
 
-        found = texts.mapInArrow(search, ddl)
+        found = common.map_arrow(texts, search, ddl)
         out = out.union(found) if k else found
     return out
 

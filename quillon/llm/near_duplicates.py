@@ -32,7 +32,7 @@ RECALL = 0.99999
 
 def _signed(batch: pa.RecordBatch, n_hashes: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For some texts at a time: (rows that have windows, set digests, values, starts, signatures)."""
-    for block in blocks(batch.column("text"), chunk=1 << 20):
+    for block in blocks(batch.column("text")):
         values, owners, starts, digest = N.distinct_sets(*shingles(block, width))
         yield block.rows[owners], digest.view(np.int64), values, starts, N.minhash(values, starts, n_hashes)
 
@@ -58,7 +58,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
             signature = _binary(sig.reshape(-1), np.arange(n + 1) * n_hashes)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(key), pa.array(size), signature], ["id", "key", "size", "signature"])
 
-    signed = common.written(texts.mapInArrow(sign, "id long, key long, size long, signature binary"), "near-signed")
+    signed = common.written(common.map_arrow(texts, sign, "id long, key long, size long, signature binary"), "near-signed")
     classes = signed.filter("size > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.first("size").alias("size"), F.first("signature").alias("signature"))
     classes = common.written(classes, "near-classes")
 
@@ -88,7 +88,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
                 yield pa.RecordBatch.from_arrays([*kept.columns, signature, items], [*names, "signature", "items"])
 
     chosen = texts.join(N.common.broadcast_if_small(wanted, N.BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("rep"))).select("root", "blocks", "key", "copies", "text")
-    members = chosen.mapInArrow(gather, "root long, blocks int, key long, copies long, signature binary, items binary")
+    members = common.map_arrow(chosen, gather, "root long, blocks int, key long, copies long, signature binary, items binary")
     found = common.written(N.verify(members, threshold, n_hashes), "near-links")
     linked = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()).select(F.col("id").alias("key"), "root")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))

@@ -117,7 +117,7 @@ def _intersections(sets_a, sets_b, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         every = np.concatenate([*sets_a, *sets_b])
         words, place = np.unique(every, return_inverse=True)
         n, m = len(sets_a), len(sets_b)
-        if (n + m) * len(words) <= 24_000_000:
+        if (n + m) * len(words) <= 8_000_000:
             x = np.zeros((n + m, len(words)), np.float32)
             x[np.repeat(np.arange(n + m), [len(s) for s in (*sets_a, *sets_b)]), place] = 1
             return np.rint(x[:n] @ x[n:].T).astype(np.int64)[p, q]
@@ -224,4 +224,4 @@ def verify(members: DataFrame, threshold: float, n_hashes: int) -> DataFrame:
         if held and (out := compare(held)) is not None:
             yield out
 
-    return rows.mapInArrow(run, "key long, links long, root long")
+    return common.map_arrow(rows, run, "key long, links long, root long")

@@ -254,9 +254,9 @@ def train(texts: DataFrame, folder: str) -> BigramModel:
         figures = [stats["count"].sum(), len(several), several.sum(), *_counts_of_counts(several), (several > 2).sum(), *pair_counts]
         return pa.table({f"x{k}": pa.array([int(v)], pa.int64()) for k, v in enumerate(figures)})
 
-    counted = texts.select("text").mapInArrow(count, schema).repartition(n, "shard")
-    merged = counted.groupBy("shard").applyInArrow(merge_pairs, schema).repartition(n_words, "shard")
-    figures = merged.groupBy("shard").applyInArrow(merge_words, ", ".join(f"x{k} long" for k in range(12)))
+    counted = common.map_arrow(texts.select("text"), count, schema).repartition(n, "shard")
+    merged = common.apply_arrow(counted, "shard", merge_pairs, schema).repartition(n_words, "shard")
+    figures = common.apply_arrow(merged, "shard", merge_words, ", ".join(f"x{k} long" for k in range(12)))
     r = figures.agg(*[F.coalesce(F.sum(f"x{k}"), F.lit(0)).alias(f"x{k}") for k in range(12)]).first()
     tokens, vocabulary, continuations = r["x0"], r["x1"], r["x2"]
     word_n, pair_n = [r[f"x{k}"] for k in range(3, 7)], [r[f"x{k}"] for k in range(8, 12)]
@@ -282,7 +282,7 @@ def score(docs: DataFrame, model: BigramModel, *keep: Column, text_col: str = "t
             out = [n.astype(np.int64), known.astype(np.int64), np.full(len(n), model.tokens, np.int64), base, own, 10 ** np.minimum(-own / n, 300)]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *map(pa.array, out)], [*names, *more])
 
-    return kept.mapInArrow(run, f"{ddl}n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return common.map_arrow(kept, run, f"{ddl}n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def held_out(doc_id: Column) -> Column:

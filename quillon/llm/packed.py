@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 
 from quillon.llm import common
 
-FLUSH_ROWS = 2_000_000
+#: Rows a task holds before it sends; a worker needs some 200 bytes for each.
+FLUSH_ROWS = 500_000
 SHARD_BYTES = 8 << 20
 UNKNOWN_BYTES = 1 << 53
 
@@ -76,5 +77,5 @@ def shuffle(
         blobs = [unpack(memoryview(b.as_buffer()), *types) for b in table.column("blob")]
         return pa.Table.from_batches([reduce(*combine(*map(np.concatenate, zip(*blobs, strict=True))))])
 
-    sent = rows.mapInArrow(send, "shard int, blob binary").repartition(n, "shard")
-    return sent.groupBy("shard").applyInArrow(receive, schema)
+    sent = common.map_arrow(rows, send, "shard int, blob binary").repartition(n, "shard")
+    return common.apply_arrow(sent, "shard", receive, schema)

@@ -103,7 +103,7 @@ class Paragraphs:
 
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Paragraphs]]:
     for batch in batches:
-        for block in blocks(batch.column("text"), chunk=1 << 20):
+        for block in blocks(batch.column("text")):
             yield batch, Paragraphs(block)
 
 
@@ -139,7 +139,7 @@ def _near_keys(texts: DataFrame, threshold: float, recall: float, rows: int) ->
             signature = _binary(N.minhash(values, cuts[:-1], n_hashes).reshape(-1), np.arange(len(which) + 1) * n_hashes)
             yield pa.RecordBatch.from_arrays([pa.array(p.key[which]), pa.array(np.diff(cuts)), signature, _binary(values, cuts)], ["key", "size", "signature", "items"])
 
-    found = texts.select("text").mapInArrow(gather, "key long, size long, signature binary, items binary")
+    found = common.map_arrow(texts.select("text"), gather, "key long, size long, signature binary, items binary")
     # a task sends a key once; the copies of several tasks meet here
     one = found.join(groups, F.col("key") == F.col("id")).groupBy("key", "root").agg(*[F.first(c).alias(c) for c in ("size", "signature", "items")])
     one = common.written(one, "paragraph-sets")
@@ -197,7 +197,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
                 ids = batch.column("id").to_numpy()[p.row[w]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, p.place[w].astype(np.int32), p.key[w], p.start[w], p.end[w], (p.b - p.a)[w])], ["id", "place", "key", "start", "end", "n_words"])
 
-    rows_ = texts.mapInArrow(occurrences, "id long, place int, key long, start long, end long, n_words long")
+    rows_ = common.map_arrow(texts, occurrences, "id long, place int, key long, start long, end long, n_words long")
     rows_ = rows_.join(listed.withColumnRenamed("key", "key_"), F.col("key") == F.col("key_")).withColumn("removed", ~((F.col("id") == F.col("first_id")) & (F.col("place") == F.col("first_place"))))
     own = W.partitionBy("id", "removed").orderBy("place", "start", "end", "key")
     rows_ = rows_.withColumn("run", F.col("place") - F.dense_rank().over(W.partitionBy("id", "removed").orderBy("place"))).withColumn("n", F.row_number().over(own))

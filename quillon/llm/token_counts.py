@@ -95,9 +95,9 @@ class TokenCache:
                 counts = [n for part in _slices(batch.column("text").to_pylist()) for n in count(part)]
                 yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
-        distinct = contents.mapInArrow(once, "digest binary, text string")
+        distinct = common.map_arrow(contents, once, "digest binary, text string")
         misses = distinct.join(self.stored(), "digest", "left_anti")
-        counts = misses.repartition(common.shuffle_partitions(self.spark), "digest").mapInArrow(encode, "digest binary, n_tokens long")
+        counts = common.map_arrow(misses.repartition(common.shuffle_partitions(self.spark), "digest"), encode, "digest binary, n_tokens long")
         counts.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(self.path)
 
 
