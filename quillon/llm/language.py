@@ -28,11 +28,12 @@ LENGTHS = (1, 2, 3, 4)
 MAX_EXHAUSTIVE = 6
 BITS = 48
 UNKNOWN = "und"
+EVIDENCE = 200
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -49,19 +50,19 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 def _grams(folded: np.ndarray) -> Iterator[np.ndarray]:
     """For each n-gram length, the cell of the n-gram that begins at each byte; 0 where it would pass a word's end."""
     n = len(folded)
-    x = folded.astype(np.uint32)
+    padded = np.concatenate([folded, np.full(max(LENGTHS), 32, np.uint8)]).astype(np.uint32)
+    x = padded[:n]
     code = x + 1
-    word_end = np.zeros(n, bool)
+    blank = x == 32
     for k in LENGTHS:
         if k > 1:
-            following = np.full(n, 32, np.uint32)
-            following[: n - k + 1] = x[k - 1 :]
-            word_end |= np.concatenate([x[k - 2 :] == 32, np.ones(k - 2, bool)]) if k > 2 else x == 32
+            following = padded[k - 1 : k - 1 + n]
+            blank = blank | (padded[k - 2 : k - 2 + n] == 32)  # a blank before the last byte: the n-gram passes a word's end
             code = (code * np.uint32(0x01000193)) ^ (following + np.uint32(k << 9))
         h = code * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         cell = (h * np.uint32(0x85EBCA77)) >> np.uint32(32 - 13)
-        yield np.where(word_end | (x == 32 if k == 1 else False), 0, np.maximum(cell, 1))
+        yield np.where(blank, 0, np.maximum(cell, 1))
 
 
 def count_cells(texts: pa.Array, groups: np.ndarray, n_groups: int) -> np.ndarray:
@@ -108,11 +109,11 @@ class Model:
     def __init__(self, languages: list[str], codes: np.ndarray, weights: np.ndarray, centre: np.ndarray, scale: np.ndarray, votes: np.ndarray):
         self.languages, self.codes, self.weights, self.centre, self.scale, self.votes = languages, codes, weights, centre, scale, votes
 
-    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the language, score, ambiguous) per text; score is the share of the winner among the codewords' likelihoods."""
+    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the language, score, ambiguous, number of n-grams) per text; score is the share of the winner among the codewords' likelihoods."""
         if len(self.languages) == 1:
             n = len(texts)
-            return np.zeros(n, int), np.ones(n), np.zeros(n, bool)
+            return np.zeros(n, int), np.ones(n), np.zeros(n, bool), np.zeros(n)
         sums, seen = decision_sums(texts, self.weights)
         mean = sums / np.maximum(seen, 1)[:, None]
         # a short text's mean is less certain
@@ -124,7 +125,7 @@ class Model:
         score = 1 / p.sum(1)
         best, second = order[:, 0], order[:, 1]
         rows = np.arange(len(loss))
-        return best, score, (loss[rows, second] - loss[rows, best]) < 0.2
+        return best, score, (loss[rows, second] - loss[rows, best]) < 0.2, seen
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model | None:
@@ -143,7 +144,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
             cells = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(cells), pa.string()), pa.array(cells.astype(np.int32)), pa.array(row[cells])], ["lang", "cell", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    counted = common.map_arrow(rows, count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     # one vector of CELLS counts a language: its size depends on the number of languages alone
     found = counted.toArrow().to_pydict()
     languages = sorted(set(found["lang"]))
@@ -183,20 +184,24 @@ def predict(docs: DataFrame, model: Model | None, *keep: Column, text_col: str =
                 valid[:] = False
                 lang, score, close = np.full(len(valid), UNKNOWN, object), np.zeros(len(valid)), np.zeros(len(valid), bool)
             else:
-                best, score, close = model.predict(texts)
+                best, score, close, _ = model.predict(texts)
                 lang = np.where(valid, np.array(model.languages, object)[best], UNKNOWN)
                 score, close = np.where(valid, score, 0.0), close & valid
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score), pa.array(close)], [*names, "lang_pred", "score", "ambiguous"])
 
-    return kept.mapInArrow(run, ddl)
+    return common.map_arrow(kept, run, ddl)
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows, with all columns, whose language is told: neither ``und`` nor ambiguous. Without a model there is none to tell."""
+    """The rows, with all columns, that aren't rejected: rejected are those without a letter, and those that are ambiguous though they have enough n-grams to tell by
+    (EVIDENCE). Without a model all are rejected, as in ``predict``."""
 
     def keeps(texts: pa.Array, letters: pa.Array) -> np.ndarray:
         told = np.array(letters.fill_null(False))
-        return told & ~model.predict(texts)[2] if model is not None and len(told) else np.zeros(len(told), bool)
+        if model is None or not len(told):
+            return np.zeros(len(told), bool)
+        _, _, close, seen = model.predict(texts)
+        return told & ~(close & (seen >= EVIDENCE))
 
     return common.filter_rows(docs, keeps, docs["text"].rlike(r"\p{L}"))
 

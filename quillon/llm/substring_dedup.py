@@ -1,7 +1,8 @@
 """Substring deduplication: paragraphs cut at sentence ends, MinHash banding, exact Jaccard, clusters by components, removal of repeated runs.
 
 A paragraph is a run of words that ends at a line end or at a word ending in ``.``, ``!`` or ``?``; so a passage put in the middle of another text is cut like the
-original, but for its first paragraph. Sentences of under MIN_WORDS words are joined with what follows; a text's rest of fewer words is skipped. Paragraphs with equal words are one; others are tied if their word windows have Jaccard >= 0.8: bands tuned for
+original, but for its first paragraph. Sentences of over LONG_WORDS words are cut at words picked by their hash, those
+of under MIN_WORDS words are joined with what follows; a text's rest of fewer words is skipped. Paragraphs with equal words are one; others are tied if their word windows have Jaccard >= 0.8: bands tuned for
 high recall give candidates, which are verified exactly. Clusters are components of these ties.
 
 A document's successive paragraphs (skipped ones aside) that lie in clusters with more than one occurrence form runs. A run of at least RUN_WORDS words is a repeated passage. The cluster's first
@@ -32,6 +33,8 @@ from quillon.llm.words import Block, blocks, member, runs_hash
 
 MIN_WORDS = 6
 RUN_WORDS = 30
+LONG_WORDS = 40
+ANCHOR_EVERY = 12
 WIDTH = 5
 THRESHOLD = 0.8
 ROWS = 2
@@ -71,6 +74,10 @@ class Paragraphs:
         new_text[block.first[:-1][np.diff(block.first) > 0]] = True
         new |= new_text
         a = np.flatnonzero(new)
+        # in sentences of over LONG_WORDS words, words that their hash picks begin a part: the same ones wherever the words are
+        long = np.repeat(np.diff(np.append(a, n)) > LONG_WORDS, np.diff(np.append(a, n)))
+        new[long & (block.hashes % N.U(ANCHOR_EVERY) == 0)] = True
+        a = np.flatnonzero(new)
         a = a[_joined(a, n, new_text)]
         b = np.append(a[1:], n)[: len(a)]
         long = b - a >= MIN_WORDS

@@ -101,20 +101,23 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    stream = zlib.decompressobj(31)
+    stream, out = zlib.decompressobj(31), []
     try:
-        out = stream.decompress(data[at:])
+        while not stream.eof and at < len(data):
+            out.append(stream.decompress(data[at : at + (1 << 16)]))
+            at += 1 << 16
     except zlib.error as e:
         raise Damaged(f"member: {e}") from None
     if not stream.eof:
         raise Damaged("member without end")
-    return out, len(data) - len(stream.unused_data)
+    return b"".join(out), min(at, len(data)) - len(stream.unused_data)
 
 
 def salvage(data: bytes) -> Salvaged:
     """All records that pass their checks, in order, and the byte gaps between them."""
     out, at, size = Salvaged(), 0, len(data)
     bad, reason = -1, ""
+    version = member = -1  # the next ones found so far, so that a search never reads bytes twice
 
     def close(end: int) -> None:
         nonlocal bad
@@ -141,8 +144,11 @@ def salvage(data: bytes) -> Salvaged:
         except Damaged as e:
             if bad < 0:
                 bad, reason = at, str(e)
-            version, member = VERSION.search(data, at + 1), data.find(MEMBER, at + 1)
-            at = min(version.start() if version else size, member if member >= 0 else size)
+            if version <= at:
+                version = found.start() if (found := VERSION.search(data, at + 1)) else size
+            if member <= at:
+                member = place if (place := data.find(MEMBER, at + 1)) >= 0 else size
+            at = min(version, member)
     close(size)
     return out
 
@@ -170,7 +176,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, schema.types, strict=True)], schema=schema)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(parse, READ_SCHEMA)
+    return common.map_arrow(files, parse, READ_SCHEMA)
 
 
 def base32_sha1(content: Column) -> Column:

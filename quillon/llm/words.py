@@ -84,10 +84,19 @@ class Block:
             inner = offsets[(offsets > 0) & (offsets <= len(data))]
             after[inner - 1] = True
         self.starts, self.ends = starts, np.flatnonzero(word & after) + 1
-        letters = _LOWER[data] if lower else data
-        self.hashes = runs_hash(_VALUES[letters], self.starts, self.ends)
+        self.hashes = np.concatenate([np.zeros(0, U), *self._hashes(lower)])
         self.first = np.searchsorted(starts, offsets)
 
+    def _hashes(self, lower: bool) -> Iterator[np.ndarray]:
+        """A piece of about CHUNK bytes at a time, cut between words, so that a very long text needs little more memory than its words."""
+        a = 0
+        while a < len(self.starts):
+            b = max(a + 1, int(np.searchsorted(self.ends, self.starts[a] + CHUNK, "right")))
+            low, high = self.starts[a], self.ends[b - 1]
+            letters = self.data[low:high]
+            yield runs_hash(_VALUES[_LOWER[letters] if lower else letters], self.starts[a:b] - low, self.ends[a:b] - low)
+            a = b
+
     def __len__(self) -> int:
         return len(self.rows)
 
