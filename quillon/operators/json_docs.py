@@ -53,7 +53,8 @@ def _loads(text: str | None):
         return _BAD
 
 
-_BAD = object()
+class _BAD:
+    """Stands for text that isn't JSON. A class, as it must stay the same object when functions are sent to workers."""
 
 
 def _same_scalar(a, b) -> bool:

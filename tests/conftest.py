@@ -29,5 +29,4 @@ def duck():
     con = duckdb.connect()
     for f in Path(folder).glob("*.parquet"):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
-    con.folder = folder if hasattr(con, "__dict__") else None
     return con

@@ -64,7 +64,7 @@ def test_stream_equals_rebuild(spark):
     rows = spark.createDataFrame([(i * 37 % 1000 - 500, float(i)) for i in range(300)], "ts_ms long, value double")
     source, path, check = (work_path(spark, x) for x in ("in", "out", "cp"))
     for part in (0, 1, 2):
-        rows.filter(F.col("ts_ms") % 3 == part).write.mode("append").parquet(source)
+        rows.filter(F.pmod("ts_ms", F.lit(3)) == part).write.mode("append").parquet(source)
         stream = spark.readStream.schema("ts_ms long, value double").parquet(source)
         continuous.refresh(stream, 100, path, check)
     want = timeseries.bucket_aggregate(rows, 100)
