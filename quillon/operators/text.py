@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.ranking import global_rank
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 
 @dataclass(frozen=True)
 class SearchConfig:
@@ -22,7 +24,7 @@ class SearchConfig:
 
 def tokenize(text: Column) -> Column:
     """Maximal runs of ASCII letters and digits, lower-cased; all else separates. Only A-Z are lowered, so that no other letter becomes an ASCII one."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     return F.regexp_extract_all(lowered, F.lit("([a-z0-9]+)"), F.lit(1))
 
 
@@ -61,11 +63,13 @@ def bm25_scores(docs: DataFrame, query: str, config: SearchConfig = SearchConfig
     Two scans and no shuffle of documents: the first sums lengths and document frequencies of the query's terms, the second scores each row.
     """
     terms = query_terms(query)
-    tokens = tokenize(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("tokens"))
-    is_term = lambda q: lambda t: t == q
-    tf = [F.size(F.filter("tokens", is_term(q))).alias(f"tf{k}") for k, q in enumerate(terms)]
-    counted = base.select("doc_id", F.size("tokens").alias("len"), *tf)
+    # counted in the text itself: no array of tokens is made
+    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
+    counted = docs.select(F.col(id_col).alias("doc_id"), lowered.alias("lowered")).select(
+        "doc_id",
+        F.regexp_count("lowered", F.lit("[a-z0-9]+")).alias("len"),
+        *[F.regexp_count("lowered", F.lit(f"(?<![a-z0-9]){q}(?![a-z0-9])")).alias(f"tf{k}") for k, q in enumerate(terms)],
+    )
     figures = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"), *[F.count(F.when(F.col(f"tf{k}") > 0, 1)).alias(f"df{k}") for k in range(len(terms))]).first()
     n, avgdl = figures["n"], figures["avgdl"] or 1.0
     score = F.lit(0.0)
