@@ -75,8 +75,8 @@ SQL = {
     "q4": "SELECT o_orderpriority, count(*) AS order_count FROM {orders} WHERE o_orderdate >= DATE '1996-07-01' AND o_orderdate < DATE '1996-07-01' + INTERVAL '3' MONTH AND EXISTS (SELECT * FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_tax < l_discount) GROUP BY o_orderpriority",
     "q5": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {customer}, {orders}, {lineitem}, {supplier}, {nation}, {region} WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' GROUP BY n_name",
     "q6": "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM {lineitem} WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-01-01' + INTERVAL '1' YEAR AND l_discount >= 0.05 AND l_discount <= 0.07 AND l_quantity < 24",
-    "q7": "SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, year(l_shipdate) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {supplier}, {lineitem}, {orders}, {customer}, {nation} n1, {nation} n2 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND ((n1.n_nationkey = 6 AND n2.n_nationkey = 7) OR (n1.n_nationkey = 7 AND n2.n_nationkey = 6)) GROUP BY n1.n_name, n2.n_name, year(l_shipdate)",
-    "q8": "SELECT year(o_orderdate) AS o_year, round(sum(CASE WHEN n_nationkey = 3 THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS mkt_share FROM {part}, {supplier}, {lineitem}, {orders}, {nation} WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND s_nationkey = n_nationkey AND p_type LIKE 'ECONOMY%' GROUP BY year(o_orderdate)",
+    "q7": "SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS INTEGER) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {supplier}, {lineitem}, {orders}, {customer}, {nation} n1, {nation} n2 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND ((n1.n_nationkey = 6 AND n2.n_nationkey = 7) OR (n1.n_nationkey = 7 AND n2.n_nationkey = 6)) GROUP BY n1.n_name, n2.n_name, CAST(year(l_shipdate) AS INTEGER)",
+    "q8": "SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, round(sum(CASE WHEN n_nationkey = 3 THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS mkt_share FROM {part}, {supplier}, {lineitem}, {orders}, {nation} WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND s_nationkey = n_nationkey AND p_type LIKE 'ECONOMY%' GROUP BY CAST(year(o_orderdate) AS INTEGER)",
     "q10": "SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, c_acctbal, n_name FROM {customer}, {orders}, {lineitem}, {nation} WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= DATE '1997-10-01' AND o_orderdate < DATE '1998-01-01' AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20",
     "q12": "SELECT l_linestatus, count(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN 1 END) AS high_line, count(CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' THEN 1 END) AS low_line FROM {orders}, {lineitem} WHERE o_orderkey = l_orderkey AND l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01' GROUP BY l_linestatus",
     "q13": "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM {customer} LEFT OUTER JOIN {orders} ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%URGENT%' GROUP BY c_custkey) c_orders GROUP BY c_count",
