@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased (A-Z) and compared by hash. Seeds are an item's windows of SEED_WORDS words. Their frequency is counted over all documents; an item keeps the rarer half, at least
-LEAST_SEEDS of them, so that an item which is itself frequent keeps seeds as well. Where a document holds a seed, the words around it are aligned with the whole item: match 1, mismatch and gap -0.5, local. The
-score divided by the item's length is the similarity; a copy with a quarter of its words changed still scores above 0.6.
+Words are lower-cased (A-Z) and compared by hash. Seeds are an item's windows of SEED_WORDS words, or its words where a copy need not hold such a window. ``least_seeds`` is the number of an item's seeds that every passage
+of the asked similarity holds, whatever its edits. Seeds are counted over all documents: an item keeps those that occur, but for its most frequent ones, of which so many go that every such passage still holds one to FEW_SEEDS others.
+Where a document holds that many close to one diagonal, the words around them are aligned with the whole item: match 1, mismatch and gap -0.5, local. The score divided by the item's length is the
+similarity; a copy with a quarter of its words changed still scores above 0.6. So what is found is what aligning every document with every item would find.
 
 The seeds of up to BLOCK_ITEMS items are broadcast (bounded by the items' words); larger benchmarks are taken in blocks of items, each against all documents. Nothing is shuffled but the seeds' counts.
 
@@ -21,24 +22,36 @@ from pyspark.sql import functions as F
 from quillon.llm import common
 from quillon.llm.words import U, blocks, runs_hash
 
-SEED_WORDS = 3
-LEAST_SEEDS = 8
+SEED_WORDS = 2
+FEW_SEEDS = 4
 SIMILARITY = 0.6
 BLOCK_ITEMS = 20_000
 MISMATCH = GAP = 0.5
 
 
+def least_seeds(length: int, similarity: float) -> tuple[int, int]:
+    """(seed words, seeds that any alignment of that similarity holds). With m equal words and e edits the score is m - e / 2, and the equal words form at most e + 1 runs, so m - e - 1 pairs of them are neighbours."""
+    need = similarity * length
+    least = max(1, int(np.ceil(need - 1e-9)))
+    pairs = min((m - 1 - min(m - 1, int(2 * (m - need) + 1e-9)) for m in range(least, length + 1)), default=0)
+    return (SEED_WORDS, pairs) if pairs > 0 else (1, least)
+
+
 class Items:
     """A block of benchmark items: word hashes, and seeds (hash, item, place) sorted by hash."""
 
-    def __init__(self, ids: list[int | None], texts: pa.Array):
+    def __init__(self, ids: list[int | None], texts: pa.Array, similarity: float = SIMILARITY):
         self.ids, self.words = ids, []
         for block in blocks(texts, lower=True):
             self.words += [block.hashes[a:b] for a, b in zip(block.first[:-1], block.first[1:], strict=True)]
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        #: No alignment of that similarity has more gaps.
+        self.slack = (2 * (1 - similarity) * self.lengths + 1e-9).astype(np.int64)
+        widths, self.need = (np.array(x, np.int64) for x in zip(*[least_seeds(len(w), similarity) for w in self.words], strict=True)) if self.words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         h, item, place = [], [], []
         for k, w in enumerate(self.words):
             if len(w):
-                width = min(SEED_WORDS, len(w))
+                width = int(widths[k])
                 s = np.arange(len(w) - width + 1)
                 h.append(runs_hash(w, s, s + width))
                 item.append(np.full(len(s), k))
@@ -47,17 +60,17 @@ class Items:
         h, item, place = join(h, U), join(item, np.int64), join(place, np.int64)
         order = np.argsort(h, kind="stable")
         self.seeds, self.item, self.place = h[order], item[order], place[order]
-        self.widths = sorted({min(SEED_WORDS, len(w)) for w in self.words if len(w)})
+        self.widths = sorted(set(widths[self.lengths > 0].tolist()))
 
     def keep_rare(self, counts: dict[int, int]) -> None:
         n = np.array([counts.get(int(s), 0) for s in self.seeds.view(np.int64)], np.int64)
-        keep = np.zeros(len(n), bool)
-        order = np.lexsort((self.place, n, self.item))
-        cuts = np.flatnonzero(np.append(True, np.diff(self.item[order]) != 0)) if len(order) else []
-        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            some = order[a:b]
-            last = n[some[min(len(some), max(LEAST_SEEDS, -(-len(some) // 2))) - 1]]
-            keep[some[n[some] <= last]] = True  # ties with the last one stay
+        order = np.lexsort((self.place, -n, self.item))
+        new = np.append(True, np.diff(self.item[order]) != 0)[: len(order)]
+        rank = np.zeros(len(n), np.int64)
+        rank[order] = np.arange(len(n)) - np.maximum.accumulate(np.where(new, np.arange(len(n)), 0))
+        left = np.minimum(self.need, FEW_SEEDS)
+        keep = (n > 0) & (rank >= (self.need - left)[self.item])
+        self.need = left
         self.seeds, self.item, self.place = self.seeds[keep], self.item[keep], self.place[keep]
 
     def hits(self, block) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +133,19 @@ def _candidates(items: Items, block) -> Iterator[tuple[int, int, int, int]]:
     text, item, diagonal = np.searchsorted(block.first, at, "right") - 1, items.item[k], at - items.place[k]
     order = np.lexsort((diagonal, item, text))
     text, item, diagonal = text[order], item[order], diagonal[order]
-    length = np.array([len(w) for w in items.words])[item]
-    slack = length // 3 + 3
-    new = np.append(True, (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) > slack[1:]))
+    slack = items.slack[item]
+    # a passage's seeds lie within slack diagonals; what has too few of them there is none
+    pair = np.cumsum(np.append(False, (np.diff(text) != 0) | (np.diff(item) != 0)))
+    line = pair * (diagonal.max() - diagonal.min() + slack.max() + 1) + diagonal - diagonal.min()
+    after = np.searchsorted(line, line + slack, "right")
+    enough = after - np.arange(len(line)) >= items.need[item]
+    live = np.cumsum(np.bincount(np.flatnonzero(enough), minlength=len(line) + 1) - np.bincount(after[enough], minlength=len(line) + 1))[:-1] > 0
+    if not live.any():
+        return
+    text, item, diagonal, slack, line = (x[live] for x in (text, item, diagonal, slack, line))
+    length = items.lengths[item]
+    new = np.append(True, np.diff(line) > slack[1:])
+    new[1:] |= (np.diff(text) != 0) | (np.diff(item) != 0)
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(text)) - 1
     first = np.maximum(diagonal[starts] - slack[starts], block.first[text[starts]])
@@ -155,14 +178,14 @@ def _hits(items: Items, texts: pa.Array, similarity: float) -> dict[tuple[int, i
     return best
 
 
-def _item_blocks(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, block_items: int) -> list:
+def _item_blocks(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, block_items: int, similarity: float) -> list:
     """Broadcast blocks of items with their rare seeds; docs: one column ``text``."""
     spark = docs.sparkSession
     wanted = benchmark.select(benchmark[f"`{item_id}`"].cast("long").alias("item"), benchmark[f"`{item_text}`"].alias("text")).filter(F.col("text").rlike(common.WORD))
     n, out = -(-wanted.count() // block_items), []
     for k in range(n):
         own = wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toArrow().sort_by([("item", "ascending"), ("text", "ascending")])
-        items = Items(own.column("item").to_pylist(), own.column("text"))
+        items = Items(own.column("item").to_pylist(), own.column("text"), similarity)
         counted = _seed_counts(docs, spark.sparkContext.broadcast(items)).toArrow()
         items.keep_rare(dict(zip(counted.column("seed").to_pylist(), counted.column("n").to_pylist(), strict=True)))
         out.append(spark.sparkContext.broadcast(items))
@@ -175,7 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     names = [doc_id, item_id, "similarity", "n_passages"]
     ddl = f"{doc_id} {texts.schema['id'].dataType.simpleString()}, {item_id} long, similarity double, n_passages long"
     out = docs.sparkSession.createDataFrame([], ddl)
-    for k, shared in enumerate(_item_blocks(texts.select("text"), benchmark, item_id, item_text, block_items)):
+    for k, shared in enumerate(_item_blocks(texts.select("text"), benchmark, item_id, item_text, block_items, similarity)):
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
@@ -193,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows, with all columns, that align with no item."""
     out = docs
-    for shared in _item_blocks(docs.select("text"), benchmark, "item_id", "text", BLOCK_ITEMS):
+    for shared in _item_blocks(docs.select("text"), benchmark, "item_id", "text", BLOCK_ITEMS, similarity):
 
         def keeps(texts: pa.Array, shared=shared) -> np.ndarray:
             mask = np.ones(len(texts), bool)

@@ -161,6 +161,29 @@ def test_decontamination(spark):
     assert sorted(kept) == sorted(i for i, *_ in rows if i is not None and i not in {d for d, _ in want})
 
 
+def test_decontamination_finds_every_edited_copy(spark):
+    """Each copy once and nowhere exact: a quarter of the words changed, every 6th changed, a word put in after every second one."""
+    rng = random.Random(11)
+    items = [(k, words(rng, rng.choice((5, 8, 15, 40, 60)))) for k in range(90)]
+    rows = []
+    for k, text in items:
+        own = text.split(" ")
+        if k % 3 == 0:
+            for at in rng.sample(range(len(own)), len(own) // 4):
+                own[at] = "changed" + str(at)
+        elif k % 3 == 1:
+            own[5::6] = ["other" + str(at) for at in range(len(own[5::6]))]
+        else:
+            own = [x for at, w in enumerate(own) for x in ([w, "in" + str(at)] if at % 2 else [w])]
+        rows.append((k, prose(rng, 4) + " " + " ".join(own) + " " + prose(rng, 4), None, None))
+    want = {(i, k): s for i, t, _, _ in rows for k, x in items if (s := brute_similarity(x, t)) >= 0.6}
+    assert len({i for i, _ in want}) >= 80
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {i for i, *_ in rows} - {i for i, _ in want}
+
+
 def test_pipeline(spark):
     rng = random.Random(15)
     item, passage = words(rng, 40), prose(rng, 8)
