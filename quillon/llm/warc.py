@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from quillon.llm import common
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+NEXT = re.compile(rb"\nWARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: No record header is longer, so a damaged one doesn't make the reader scan a whole archive for its end.
-HEADER_LIMIT = 1 << 16
+#: Most headers end within so many bytes.
+NEAR = 1 << 16
 NO_ID = (1 << 63) - 1
 #: About 16 MB of digests.
 BROADCAST_ROWS = 200_000
@@ -73,7 +74,11 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     version = VERSION.match(data, at)
     if not version:
         raise Damaged("no version line")
-    end = data.find(END, at, at + HEADER_LIMIT)
+    end = data.find(END, at, at + NEAR)
+    if end < 0:
+        # a header ends before the next version line, so damaged ones don't make the reader scan an archive for their ends again and again
+        following = NEXT.search(data, version.end())
+        end = data.find(END, at, following.start() + 1 if following else len(data))
     if end < 0:
         raise Damaged("header without end")
     headers: dict[str, str] = {}
@@ -229,11 +234,12 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to archives and read back; quarantined gaps would be missing pages, and there are none."""
+    """Every page written to archives and read back; quarantined gaps would be missing pages, so one fails the query."""
     path = common.work_path(spark, "warc")
     write_warc(common.table(spark, sf_dir, "pages"), path)
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:x-page:(.*)>$', 1) AS bigint)")
-    records = read_warc(spark, path).filter("kind = 'record'")
+    gap = F.raise_error(F.concat(F.lit("gap in "), "archive", F.lit(": "), "note")).cast("boolean")
+    records = read_warc(spark, path).filter(F.when(F.col("kind") == "record", True).otherwise(gap))
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 

@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import random
 
+import pytest
+
 from quillon.llm import common, warc
 from tests.llm.helpers import prose
 
@@ -70,6 +72,18 @@ def test_salvage():
     assert ids(warc.salvage(big + record(2, b"b"))) == [2]
 
 
+def test_long_headers(spark, monkeypatch, tmp_path):
+    rows = [(1, "http://a/" + "u" * 200_000, "<p>a</p>"), (2, "http://a/WARC/1.1", "b"), (3, "http://b/" + "v" * 70_000 + "WARC/1.1", "<p>a</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.record_type for r in warc.op4_warc(spark, str(tmp_path)).collect()}
+    assert got == {1: "response", 2: "response", 3: "revisit"}
+    cut = record(1, b"a").replace(b"\r\n\r\n", b"") + b"x" * 100_000
+    assert ids(warc.salvage(cut + b"\r\n" + record(2, b"b"))) == [2]
+    monkeypatch.setattr(warc, "read_warc", lambda spark, path: spark.createDataFrame([("a", "gap", "lost")], "archive string, kind string, note string").selectExpr("*", *[f"'' AS {c}" for c in ("record_id", "payload_bytes", "payload_digest", "record_type", "refers_to")]))
+    with pytest.raises(Exception, match="gap in a: lost"):
+        warc.op4_warc(spark, str(tmp_path)).collect()
+
+
 def test_gaps_are_logged(spark, tmp_path):
     good = record(1, b"one")
     (tmp_path / "a.warc").write_bytes(good + b"broken" + record(2, b"two"))
