@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillon.llm import common
 from quillon.llm import near_sets as N
@@ -42,8 +43,9 @@ def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * data.itemsize).astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, rows: int = ROWS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, class_id (the least id of its component of links), n_links (other rows with Jaccard >= threshold)."""
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, rows: int = ROWS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", by_set: bool = False) -> DataFrame:
+    """Per row: id, class_id (the least id of its component of links), n_links (other rows with Jaccard >= threshold). by_set: also set_id (the digest of its window set, null without
+    windows) and class_set (the least digest among the sets that hold the class's least id)."""
     bands = N.tune(threshold, recall, rows)
     n_hashes = bands * rows
     spark = docs.sparkSession
@@ -93,14 +95,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     linked = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()).select(F.col("id").alias("key"), "root")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     known = common.written(classes.select("key", "copies", "rep").join(linked, "key").join(links, "key", "left"), "near-known")
-    least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = known.join(least, "root").select("key", "class_id", "links")
+    # nulls come last: a class has a null id if it has no other
+    least = known.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key")).alias("least"))
+    known = known.join(least, "root").select("key", F.col("least.rep").alias("class_id"), F.col("least.key").alias("class_set"), "links")
     state = classes.select("key", "copies", "rep").join(known, "key", "left")
-    state = state.select("key", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    state = state.select("key", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_set", "key").alias("class_set"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # most classes are one document without links and need no look-up
     state = common.written(state.filter("n_links > 0"), "near-state").withColumnRenamed("key", "key_")
     out = signed.select("id", "key", "size").join(state, (F.col("key") == F.col("key_")) & (F.col("size") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("n_links") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sets = [F.when(F.col("size") > 0, F.col("key")).alias("set_id"), F.when(F.col("size") > 0, F.coalesce("class_set", "key")).alias("class_set")] if by_set else []
+    return out.select(F.col("id").alias(id_col), F.when(F.col("n_links") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *sets)
+
+
+def with_sets(docs: DataFrame, name: str, width: int = WIDTH, text_col: str = "text") -> DataFrame:
+    """The rows with their set_id, as above, in one more column."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, none = np.zeros(len(batch), np.int64), np.ones(len(batch), bool)
+            for block in blocks(batch.column(at)):
+                _, owners, _, digest = N.distinct_sets(*shingles(block, width))
+                key[block.rows[owners]], none[block.rows[owners]] = digest.view(np.int64), False
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, mask=none)], names=[*batch.schema.names, name])
+
+    return common.map_arrow(docs, run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

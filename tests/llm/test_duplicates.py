@@ -184,6 +184,20 @@ def test_decontamination_finds_every_edited_copy(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {i for i, *_ in rows} - {i for i, _ in want}
 
 
+def test_near_copies_go_by_row(spark):
+    """Null and repeated ids: of each class one row stays, whatever else has its id."""
+    rng = random.Random(16)
+    a, b, c, d = (prose(rng, 30) for _ in range(4))
+    alone = [prose(rng, 12) for _ in range(4)]
+    near = a.rsplit(" ", 1)[0] + " end."
+    rows = [(1, a), (None, near), (None, alone[0]), (None, alone[1]), (2, b), (20, b), (20, alone[2]), (20, alone[2]), (None, c), (None, c), (None, c.rsplit(" ", 1)[0] + " end."), (30, d), (30, d.rsplit(" ", 1)[0] + " end."), (40, alone[3])]
+    docs = documents(spark, [(i, t, "en", "s1") for i, t in rows])
+    kept = corpus_pipeline.ngram_jaccard_join(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text[:40]) for r in kept.collect())
+    assert got == sorted((i or 0, t[:40]) for i, t in [(1, a), (None, alone[0]), (None, alone[1]), (2, b), (20, alone[2]), (None, c), (30, d), (40, alone[3])])
+
+
 def test_pipeline(spark):
     rng = random.Random(15)
     item, passage = words(rng, 40), prose(rng, 8)
