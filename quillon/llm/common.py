@@ -7,11 +7,12 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.sources.connectors import table
 from quillon.sources.work import broadcast_if_small, work_path, written
 
-__all__ = ["SPACE", "WORD", "apply_arrow", "broadcast_if_small", "filter_rows", "map_arrow", "needs", "posix_path", "shuffle_partitions", "table", "work_path", "written"]
+__all__ = ["SPACE", "WORD", "apply_arrow", "broadcast_if_small", "filter_rows", "map_arrow", "needs", "posix_path", "row_id", "shuffle_partitions", "table", "work_path", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -65,6 +66,11 @@ def apply_arrow(df: DataFrame, key: str, function, schema: str) -> DataFrame:
     return df.groupBy(key).applyInArrow(run, schema)
 
 
+def row_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """A 64-bit digest of id and text: rows that agree in both are one document, whatever their ids."""
+    return F.xxhash64(df[f"`{id_col}`"].cast("long"), df[f"`{text_col}`"])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -44,15 +44,20 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node[keep][k : k + 100_000]), pa.array(root[keep][k : k + 100_000])], ["a", "b"])
 
 
+def _written_least(edges: DataFrame) -> DataFrame:
+    """Each node's least neighbour. It is written, so that both sides of the join with it are plain shuffles: AQE splits those where a node has very many neighbours."""
+    return common.written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("m", "a").alias("m"))
+    least = _written_least(both).select("u", F.least("m", "u").alias("m"))
     return both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+    least = _written_least(down)
     joined = down.join(least, F.col("a") == F.col("u"))
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
 
@@ -67,7 +72,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = common.written(_small_star(_large_star(now)), "edges")
+        now = common.written(_small_star(common.written(_large_star(now), "edges")), "edges")
     else:
         raise RuntimeError(f"no end of the components after {ROUNDS} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

@@ -3,8 +3,7 @@
 Words are compared as they are, in windows of five (a text of one to four words is one window). Documents with equal window sets form a class of copies: only one of them is
 compared, and a class's copies count as links of each other. Window sets are compared by 64-bit hashes, classes told apart by a 64-bit digest of the set.
 
-Texts are read twice: for signatures, then, joined by id to the candidates, for the whole sets of those alone. The candidates' ids are broadcast up to
-BROADCAST_ROWS, else the texts are shuffled.
+Texts are read twice: for signatures, then, joined by digest to the candidates, for the whole sets of those alone.
 
 Defined results: null, empty and blank texts have no window: they link to nothing and are their own class; repeated rows are copies; rows with a null id are
 compared like others (class id null if all of the class are null); an empty table gives no rows; other columns are ignored.
@@ -18,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from quillon.llm import common
 from quillon.llm import near_sets as N
@@ -43,13 +41,13 @@ def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * data.itemsize).astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, rows: int = ROWS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", by_set: bool = False) -> DataFrame:
-    """Per row: id, class_id (the least id of its component of links), n_links (other rows with Jaccard >= threshold). by_set: also set_id (the digest of its window set, null without
-    windows) and class_set (the least digest among the sets that hold the class's least id)."""
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, rows: int = ROWS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
+    """Per row: id, class_id (the least id of its component of links), n_links (other rows with Jaccard >= threshold). by_row: also row_id (``common.row_id``) and class_row, the row
+    of the class's least id; where several rows have it, the least row_id of them."""
     bands = N.tune(threshold, recall, rows)
     n_hashes = bands * rows
-    spark = docs.sparkSession
-    texts = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"))
+    text = docs[f"`{text_col}`"]
+    texts = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"), common.row_id(docs, id_col, text_col).alias("row"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,68 +56,45 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
             for at, digest, values, starts, signatures in _signed(batch, n_hashes, width):
                 key[at], size[at], sig[at] = digest, np.diff(np.append(starts, len(values))), signatures
             signature = _binary(sig.reshape(-1), np.arange(n + 1) * n_hashes)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(key), pa.array(size), signature], ["id", "key", "size", "signature"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "digest", "row")), pa.array(key), pa.array(size), signature], ["id", "digest", "row", "key", "size", "signature"])
 
-    signed = common.written(common.map_arrow(texts, sign, "id long, key long, size long, signature binary"), "near-signed")
-    classes = signed.filter("size > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.first("size").alias("size"), F.first("signature").alias("signature"))
+    signed = common.written(common.map_arrow(texts, sign, "id long, digest long, row long, key long, size long, signature binary"), "near-signed")
+    # nulls come last: a class has a null id if it has no other
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    classes = signed.filter("size > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("rep"), F.first("size").alias("size"), F.first("signature").alias("signature"), F.min("digest").alias("digest"))
     classes = common.written(classes, "near-classes")
-
-    def band(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if len(batch):
-            sig = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("signature")])
-            yield N.band_hashes(sig, bands, rows).reshape(-1), np.repeat(batch.column("key").to_numpy(), bands)
-
-    groups = N.candidate_groups(classes.select("key", "signature"), band)
-    wanted = classes.select("key", "copies", "rep", "size").join(groups.withColumnRenamed("id", "key"), "key")
-    wanted = common.written(N.with_blocks(wanted, "size").drop("size"), "near-wanted")
+    groups = N.candidate_groups(classes, threshold, bands, rows)
+    wanted = classes.select("key", "copies", "digest", "size").join(groups.withColumnRenamed("id", "key"), "key")
+    wanted = common.written(N.with_blocks(common.written(wanted, "near-grouped"), "size").drop("size"), "near-wanted")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["root", "blocks", "key", "copies"]
+        sent: set[int] = set()
         for batch in batches:
-            key = batch.column("key").to_numpy()
-            for at, digest, values, starts, signatures in _signed(batch, n_hashes, width):
-                # an id may stand for several texts; the class's own is taken
-                own = np.flatnonzero(digest == key[at])
-                if not len(own):
-                    continue
-                cuts = np.append(starts, len(values))
-                parts = [values[cuts[k] : cuts[k + 1]] for k in own]
-                items = _binary(np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
-                signature = _binary(np.ascontiguousarray(signatures[own]).reshape(-1), np.arange(len(own) + 1) * n_hashes)
-                kept = batch.select(names).take(pa.array(at[own]))
+            fresh = [k for k, x in enumerate(batch.column("key").to_pylist()) if x not in sent and not sent.add(x)]
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            for at, _, values, starts, signatures in _signed(batch, n_hashes, width):
+                kept = batch.select(names).take(pa.array(at))
+                items, signature = _binary(values, np.append(starts, len(values))), _binary(signatures.reshape(-1), np.arange(len(at) + 1) * n_hashes)
                 yield pa.RecordBatch.from_arrays([*kept.columns, signature, items], [*names, "signature", "items"])
 
-    chosen = texts.join(N.common.broadcast_if_small(wanted, N.BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("rep"))).select("root", "blocks", "key", "copies", "text")
+    # the same text in many rows is taken once by each task
+    chosen = texts.select("digest", "text").join(wanted.withColumnRenamed("digest", "digest_"), F.col("digest") == F.col("digest_")).select("root", "blocks", "key", "copies", "text")
     members = common.map_arrow(chosen, gather, "root long, blocks int, key long, copies long, signature binary, items binary")
-    found = common.written(N.verify(members, threshold, n_hashes), "near-links")
+    found = common.written(N.verify(members, threshold), "near-links")
     linked = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()).select(F.col("id").alias("key"), "root")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     known = common.written(classes.select("key", "copies", "rep").join(linked, "key").join(links, "key", "left"), "near-known")
-    # nulls come last: a class has a null id if it has no other
-    least = known.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key")).alias("least"))
-    known = known.join(least, "root").select("key", F.col("least.rep").alias("class_id"), F.col("least.key").alias("class_set"), "links")
+    least = common.written(known.groupBy("root").agg(F.min("rep").alias("least")), "near-least")
+    known = known.join(least, "root").select("key", "least", "links")
     state = classes.select("key", "copies", "rep").join(known, "key", "left")
-    state = state.select("key", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_set", "key").alias("class_set"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    state = state.select("key", F.coalesce("least", "rep").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # most classes are one document without links and need no look-up
     state = common.written(state.filter("n_links > 0"), "near-state").withColumnRenamed("key", "key_")
-    out = signed.select("id", "key", "size").join(state, (F.col("key") == F.col("key_")) & (F.col("size") > 0), "left")
-    sets = [F.when(F.col("size") > 0, F.col("key")).alias("set_id"), F.when(F.col("size") > 0, F.coalesce("class_set", "key")).alias("class_set")] if by_set else []
-    return out.select(F.col("id").alias(id_col), F.when(F.col("n_links") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *sets)
-
-
-def with_sets(docs: DataFrame, name: str, width: int = WIDTH, text_col: str = "text") -> DataFrame:
-    """The rows with their set_id, as above, in one more column."""
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, none = np.zeros(len(batch), np.int64), np.ones(len(batch), bool)
-            for block in blocks(batch.column(at)):
-                _, owners, _, digest = N.distinct_sets(*shingles(block, width))
-                key[block.rows[owners]], none[block.rows[owners]] = digest.view(np.int64), False
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, mask=none)], names=[*batch.schema.names, name])
-
-    return common.map_arrow(docs, run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    out = signed.select("id", "row", "key", "size").join(state, (F.col("key") == F.col("key_")) & (F.col("size") > 0), "left")
+    linked = F.col("n_links") > 0
+    more = [F.col("row").alias("row_id"), F.when(linked, F.col("least.row")).otherwise(F.col("row")).alias("class_row")] if by_row else []
+    return out.select(F.col("id").alias(id_col), F.when(linked, F.col("least.id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *more)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Links between near-equal sets: MinHash bands, then Bayesian pruning on incrementally compared MinHash values, then exact Jaccard.
 
-Candidates are the components of the sets that share a band. A component is compared as a whole, in one task if it is small, else as pairs of blocks of
-bounded size. Within a block pair, MinHash values are compared ``STEP`` at a time; a pair is dropped once the posterior probability (uniform prior) that
-its similarity reaches the threshold is below the tolerance. The pairs that are left are verified on the whole sets. What comes out grows
+Candidates are pairs that share a bucket (one band's hash). A bucket is compared by itself, as pairs of blocks of bounded size; a pair that shares several buckets is compared in the first. MinHash
+values are compared ``STEP`` at a time; a pair is dropped once the posterior probability (uniform prior) that its similarity reaches the threshold is below the tolerance. What is left
+ties sets into groups. All pairs of a group are verified on the whole sets, again as pairs of blocks, each group's sets being sent once per block. What comes out grows
 with the number of sets, not of pairs: for each set its number of links within the block pair, and a spanning forest of the links.
 """
 
@@ -25,7 +25,6 @@ STEP = 15
 TOLERANCE = 1e-6
 BLOCK_SETS = 512
 BLOCK_BYTES = 8 << 20
-BROADCAST_ROWS = 1_000_000
 
 
 def tune(threshold: float, recall: float, rows: int) -> int:
@@ -85,12 +84,15 @@ def _sizes_fit(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
 
 
-def similar_pairs(sig_a, sets_a, sig_b, sets_b, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places (p, q) of all pairs of a set of A and one of B with Jaccard >= threshold; same: A is B, pairs p < q only."""
-    size_a, size_b = np.array([len(x) for x in sets_a]), np.array([len(x) for x in sets_b])
+def pruned_pairs(sig_a, size_a, sig_b, size_b, threshold: float, same: bool, skip=()) -> tuple[np.ndarray, np.ndarray]:
+    """Places (p, q) of the pairs of a set of A and one of B that may reach the threshold; same: A is B, pairs p < q only. skip: (values of A, values of B); a pair with an equal value is left out."""
     alive = _sizes_fit(size_a[:, None], size_b[None, :], threshold)
     if same:
         alive &= np.arange(len(size_a))[:, None] < np.arange(len(size_b))[None, :]
+    for a, b in skip:
+        if not alive.any():
+            break
+        alive &= a[:, None] != b[None, :]
     total, at = sig_a.shape[1], 0
     equal = np.zeros(alive.shape, np.int16)
     while at < total and alive.any() and alive.sum() * 8 > alive.size:
@@ -105,6 +107,13 @@ def similar_pairs(sig_a, sets_a, sig_b, sets_b, threshold: float, same: bool) ->
         e += (sig_a[p, at:to] == sig_b[q, at:to]).sum(1)
         keep = e >= least_matches(to, threshold, TOLERANCE)
         p, q, e, at = p[keep], q[keep], e[keep], to
+    return p, q
+
+
+def similar_pairs(sig_a, sets_a, sig_b, sets_b, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (p, q) of all pairs of a set of A and one of B with Jaccard >= threshold."""
+    size_a, size_b = np.array([len(x) for x in sets_a]), np.array([len(x) for x in sets_b])
+    p, q = pruned_pairs(sig_a, size_a, sig_b, size_b, threshold, same)
     if not len(p):
         return p, q
     common_ = _intersections(sets_a, sets_b, p, q)
@@ -124,69 +133,119 @@ def _intersections(sets_a, sets_b, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([len(np.intersect1d(sets_a[i], sets_b[k], assume_unique=True)) for i, k in zip(p, q, strict=True)], np.int64)
 
 
-def _ties(bands: np.ndarray, keys: np.ndarray, is_tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each band's least key, and a tie (key, least key) for every other key of the band; ties come and go as rows with is_tie 1.
+def _counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, place = np.unique(keys, return_inverse=True)
+    return found, np.bincount(place, n, len(found)).astype(np.int64)
 
-    What ties keys together stays the same, but a band has one row afterwards, however many keys it had.
-    """
-    tied = is_tie > 0
-    a, b = [bands[tied]], [keys[tied]]
-    band, key = bands[~tied], keys[~tied]
-    order = np.lexsort((key, band))
-    band, key = band[order], key[order]
-    first = np.flatnonzero(np.append(True, band[1:] != band[:-1])) if len(band) else np.zeros(0, np.int64)
-    least = np.repeat(key[first], np.diff(np.append(first, len(band))))
-    other = key != least
-    a.append(key[other])
-    b.append(least[other])
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if sum(map(len, a)) else np.zeros((0, 2), np.int64)
-    n = len(pairs)
-    return np.concatenate([band[first], pairs[:, 0]]), np.concatenate([key[first], pairs[:, 1]]), np.concatenate([np.zeros(len(first), np.int8), np.ones(n, np.int8)])
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in column])
+
+
+def _by_group(ids: tuple[str, ...], compare):
+    """Over rows sorted by ``ids``: compare is called with the batches of one group at a time, and its result, if any, is a batch of the output."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            own = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ids], 1)
+            cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1), len(own)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                now = tuple(own[a])
+                if now != last and held:
+                    if (out := compare(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                last = now
+                held.append(batch.slice(a, b - a))
+        if held and (out := compare(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return run
+
+
+def _block_pairs(rows: DataFrame, group: str, key: str, *columns: str) -> DataFrame:
+    """Rows (group, blocks, key, columns) dealt to pairs of blocks (i, j), sorted: a row goes to each pair with its own block."""
+    block = F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
+    dealt = rows.withColumn("block", block).withColumn("other", other)
+    dealt = dealt.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", key, *columns)
+    return dealt.repartition(common.shuffle_partitions(rows.sparkSession), group, "i", "j").sortWithinPartitions(group, "i", "j", "block", key)
 
 
-def candidate_groups(rows: DataFrame, produce) -> DataFrame:
-    """(id, root) of the keys that share a band with another. produce: (bands, keys), int64 and of equal length, from a batch of rows."""
+def _places(table: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(rows with another key than the row before, their blocks, i, j)"""
+    keys, block = table.column(key).to_numpy(), table.column("block").to_numpy()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return first, block[first], table.column("i")[0].as_py(), table.column("j")[0].as_py()
 
-    def marked(batch: pa.RecordBatch):
-        for bands, keys in produce(batch):
-            yield bands, keys, np.zeros(len(bands), np.int8)
 
-    def ties(bands: np.ndarray, keys: np.ndarray, is_tie: np.ndarray) -> pa.RecordBatch:
-        t = is_tie > 0
-        return pa.RecordBatch.from_arrays([pa.array(bands[t]), pa.array(keys[t])], ["a", "b"])
+def candidate_groups(classes: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """(id, root) of the sets tied by pairs that share a bucket and survive the pruning, from a written table (key, size, signature)."""
 
-    return components(packed.shuffle(rows, marked, _ties, ties, (np.int64, np.int64, np.int8), "a long, b long"))
+    def hashed(batch: pa.RecordBatch) -> np.ndarray:
+        return band_hashes(_signatures(batch.column("signature")), bands, rows)
+
+    def one_each(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        if len(batch):
+            h = hashed(batch).reshape(-1)
+            yield h, np.ones(len(h), np.int64)
+
+    def several(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys[n > 1]), pa.array(n[n > 1])], ["key", "n"])
+
+    signed = classes.select("key", "signature")
+    buckets = packed.shuffle(signed, one_each, _counted, several, (np.int64, np.int64), "key long, n long")
+    buckets = common.written(buckets.withColumn("blocks", F.ceil(F.col("n") / BLOCK_SETS)), "near-buckets")
+
+    def members(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        if len(batch):
+            yield hashed(batch).reshape(-1), np.repeat(batch.column("key").to_numpy(), bands), np.tile(np.arange(bands, dtype=np.int16), len(batch))
+
+    found = packed.look_up(signed, members, (np.int64, np.int64, np.int16), ["bucket", "id", "band"], buckets, (np.int64,), "bucket long, id long, band short, blocks long")
+    found = common.written(found, "near-candidates").join(classes.select(F.col("key").alias("id_"), "size", "signature"), F.col("id") == F.col("id_"))
+
+    def compare(t: pa.Table) -> pa.RecordBatch | None:
+        first, block, i, j = _places(t, "id")
+        if len(first) < 2:
+            return None
+        key, size, sig = t.column("id").to_numpy()[first], t.column("size").to_numpy()[first], _signatures(t.column("signature").take(pa.array(first)))
+        earlier = band_hashes(sig, t.column("band")[0].as_py(), rows)
+        a, b = (np.arange(len(key)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
+        if not len(a) or not len(b):
+            return None
+        p, q = pruned_pairs(sig[a], size[a], sig[b], size[b], threshold, i == j, [(x[a], x[b]) for x in earlier.T])
+        if not len(p):
+            return None
+        node, root = forest(key[a[p]], key[b[q]])
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
+
+    pairs = _block_pairs(found, "bucket", "id", "band", "size", "signature")
+    return components(common.map_arrow(pairs, _by_group(("bucket", "i", "j"), compare), "a long, b long"))
 
 
 def with_blocks(groups: DataFrame, size: str) -> DataFrame:
-    """Adds blocks, the number of blocks of the row's component, to rows (key, root, <size>: values in the set)."""
+    """Adds blocks, the number of blocks of the row's group, to rows (key, root, <size>: values in the set)."""
     n = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n_"), F.sum(size).alias("v_"))
     n = n.select(F.col("root").alias("root_"), F.greatest(F.ceil(F.col("n_") / BLOCK_SETS), F.ceil(8 * F.col("v_") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    return groups.join(n, F.col("root") == F.col("root_")).drop("root_")
+    return groups.join(common.written(n, "near-blocks"), F.col("root") == F.col("root_")).drop("root_")
 
 
-def verify(members: DataFrame, threshold: float, n_hashes: int) -> DataFrame:
+def verify(members: DataFrame, threshold: float) -> DataFrame:
     """(key, links, root) from rows (root, blocks, key, copies, signature, items): links to other keys, weighed by their copies, and edges of a spanning forest.
 
     A key has a row for each block pair in which it has links.
     """
-    spark = members.sparkSession
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = members.withColumn("block", block).withColumn("other", other)
-    rows = rows.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "copies", "signature", "items")
-    rows = rows.repartition(common.shuffle_partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "key")
-
-    def compare(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(parts)
-        key, copies, block = (t.column(c).to_numpy() for c in ("key", "copies", "block"))
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        key, copies, block = key[first], copies[first], block[first]
-        if len(key) < 2:
+
+    def compare(t: pa.Table) -> pa.RecordBatch | None:
+        first, block, i, j = _places(t, "key")
+        if len(first) < 2:
             return None
-        sig = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in (t.column("signature")[int(k)] for k in first)])
-        sets = [np.frombuffer(x.as_buffer(), U) for x in (t.column("items")[int(k)] for k in first)]
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        key, copies, sig = t.column("key").to_numpy()[first], t.column("copies").to_numpy()[first], _signatures(t.column("signature").take(pa.array(first)))
+        sets = [np.frombuffer(t.column("items")[int(k)].as_buffer(), U) for k in first]
         if i == j:
             p, q = similar_pairs(sig, sets, sig, sets, threshold, True)
         else:
@@ -205,23 +264,5 @@ def verify(members: DataFrame, threshold: float, n_hashes: int) -> DataFrame:
         order = at[np.argsort(key[at])]
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links[order]), pa.array(root)], ["key", "links", "root"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            ids = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("root", "i", "j")], 1)
-            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1), len(ids)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                now = tuple(ids[a])
-                if now != last and held:
-                    if (out := compare(held)) is not None:
-                        yield out
-                    held = []
-                last = now
-                held.append(batch.slice(a, b - a))
-        if held and (out := compare(held)) is not None:
-            yield out
-
-    return common.map_arrow(rows, run, "key long, links long, root long")
+    rows = _block_pairs(members, "root", "key", "copies", "signature", "items")
+    return common.map_arrow(rows, _by_group(("root", "i", "j"), compare), "key long, links long, root long")
