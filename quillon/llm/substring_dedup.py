@@ -1,18 +1,19 @@
-"""Substring deduplication: paragraphs cut at sentence ends, MinHash banding, exact Jaccard, clusters by components, removal of repeated runs.
+"""Substring deduplication: paragraph MinHash banding, exact Jaccard on passages extended word by word, clusters by components, removal of later copies.
 
-A paragraph is a run of words that ends at a line end or at a word ending in ``.``, ``!`` or ``?``; so a passage put in the middle of another text is cut like the
-original, but for its first paragraph. Sentences of over LONG_WORDS words are cut at words picked by their hash, those
-of under MIN_WORDS words are joined with what follows; a text's rest of fewer words is skipped. Paragraphs with equal words are one; others are tied if their word windows have Jaccard >= 0.8: bands tuned for
-high recall give candidates, which are verified exactly. Clusters are components of these ties.
+Paragraphs are of two kinds. Lines of PASSAGE_WORDS words or more, shorter successive lines being joined, give the values of MinHash bands tuned for high recall at Jaccard 0.8. Short paragraphs
+give one value, that of all their words: they are cut at words that are the least by hash among REACH successive ones, so any PASSAGE_WORDS words hold a whole one, wherever and in whatever text they stand,
+with or without punctuation.
 
-A document's successive paragraphs (skipped ones aside) that lie in clusters with more than one occurrence form runs. A run of at least RUN_WORDS words is a repeated passage. The cluster's first
-occurrence (least id, then place) stays; later ones are removed. RUN_WORDS is 30, as a passage of 50 words may lose its first paragraph to the text before it; shorter repeats, such as a
-shared line, are left alone.
+Paragraphs of different documents that agree in a value collide. Each is joined to the first document that has the value (the first itself to the second one); first is the least id, nulls last, then the least row
+digest. Successive paragraphs joined to the same stretch of the same document are one candidate. It is verified on the words of both documents around it: runs of equal word windows are extended to
+their ends, runs with few words between are bridged, and what has PASSAGE_WORDS words or more and Jaccard >= 0.8 on word windows is a repeated passage. Passages that share paragraphs are one
+cluster, by components. A passage joined to an earlier document is removed, so the first copy stays.
 
-Texts are read four times; what is shuffled are hashes. Candidate keys and repeated keys are broadcast while few, else joined.
+Texts are read three times. What is shuffled are hashes, and the texts with candidates once; the commonest values' rows are dealt to all tasks (``packed.look_up``), and a document with very many copies is in
+plain joins only, which AQE splits.
 
-Defined results: null, empty and blank texts have no paragraph; rows with a null id are left alone; rows with the same id are one document (their
-paragraphs at the same place are one occurrence); other columns are ignored; texts are read whole.
+Defined results: null, empty and blank texts have no paragraph; rows that agree in id and text are one document, so they aren't copies of each other, and all are cut alike; rows with the same id or a null id and other
+texts are documents of their own; repeats inside one document alone are left; other columns are ignored; texts are read whole.
 """
 
 from __future__ import annotations
@@ -28,209 +29,369 @@ from pyspark.sql import functions as F
 from quillon.llm import common, packed
 from quillon.llm import near_sets as N
 from quillon.llm.components import components
-from quillon.llm.near_duplicates import _binary
-from quillon.llm.words import Block, blocks, member, runs_hash
+from quillon.llm.words import Block, U, blocks, blocks_raw, mix, runs_hash
 
-MIN_WORDS = 6
-RUN_WORDS = 30
-LONG_WORDS = 40
-ANCHOR_EVERY = 12
+PASSAGE_WORDS = 50
 WIDTH = 5
 THRESHOLD = 0.8
-ROWS = 2
+ROWS = 4
 RECALL = 0.995
-#: 32 MB of keys.
-BROADCAST_KEYS = 4_000_000
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?"]] = True
-
-
-def _joined(a: np.ndarray, n: int, new_text: np.ndarray) -> np.ndarray:
-    """Which of the sentences that begin at ``a`` begin a paragraph. A sentence of MIN_WORDS words or more ends one; of successive shorter ones, one ends a paragraph when their
-    words together pass a multiple of MIN_WORDS. So the cuts depend on the text since the last long sentence only."""
-    if not len(a):
-        return np.zeros(0, bool)
+#: Words by which a place for a cut is picked, successive ones of which one is picked, and the least words of a short paragraph: GRAM + 2 * REACH - 1 <= PASSAGE_WORDS.
+GRAM = 3
+REACH = 24
+SHORT_WORDS = 10
+#: Words between runs that a passage may bridge; words between paragraphs of one candidate; words read beyond a candidate's paragraphs.
+BRIDGE_WORDS = 16
+CHAIN_WORDS = 60
+AROUND = 50
+NO_ID = (1 << 63) - 1
+_LOW = U(0xFFFFFFFF)
+
+
+def cuts(block: Block) -> np.ndarray:
+    """The words that begin the least GRAM words by hash among REACH successive ones of a text."""
+    m = len(block.hashes) - GRAM + 1
+    if m < REACH:
+        return np.zeros(0, np.int64)
+    at = np.arange(m)
+    least = (runs_hash(block.hashes, at, at + GRAM) & ~_LOW) | at.astype(U)
+    size = 1
+    while 2 * size <= REACH:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    least = np.minimum(least[: m - REACH + 1], least[REACH - size :])
+    text = np.repeat(np.arange(len(block)), np.diff(block.first))
+    first = at[: m - REACH + 1]
+    place = (least & _LOW).astype(np.int64)[text[first] == text[first + REACH + GRAM - 2]]
+    return place[np.append(True, place[1:] != place[:-1])] if len(place) else place
+
+
+def short_paragraphs(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, words after): from each cut to the end of the next one, of SHORT_WORDS words at least; of more where cuts stand close, as in a repeated word."""
+    c = cuts(block)
+    if len(c) < 2:
+        return c[:0], c[:0]
+    text = np.searchsorted(block.first, c, "right") - 1
+    ok = text[1:] == text[:-1]
+    a, b = c[:-1][ok], c[1:][ok]
+    least = np.where(b - a <= GRAM, PASSAGE_WORDS - REACH + 1, SHORT_WORDS)
+    return a, np.minimum(np.maximum(b + GRAM, a + least), block.first[text[:-1][ok] + 1])
+
+
+def long_paragraphs(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, words after): lines of PASSAGE_WORDS words or more, and successive shorter ones joined until they pass a multiple of that; a long line ends the joining, so the
+    cuts depend on the text since the last long line only. A rest of fewer words is skipped."""
+    n = len(block.hashes)
+    if not n:
+        return (np.zeros(0, np.int64),) * 2
+    new_text = np.zeros(n, bool)
+    new_text[block.first[:-1][np.diff(block.first) > 0]] = True
+    lines = np.append(0, np.cumsum(block.data == 10))
+    new = new_text.copy()
+    new[1:] |= lines[block.starts[1:]] > lines[block.ends[:-1]]
+    a = np.flatnonzero(new)
     size = np.diff(np.append(a, n))
-    first = new_text[a]
-    # the words since the last sentence that is long or ends a text
-    cut = np.append(True, (size[:-1] >= MIN_WORDS) | first[1:])
+    alone = np.append(True, (size[:-1] >= PASSAGE_WORDS) | (size[1:] >= PASSAGE_WORDS) | new_text[a[1:]])
     total = np.cumsum(size)
-    since = (total - size) - np.maximum.accumulate(np.where(cut, total - size, 0))
-    passed = np.append(True, (since[:-1] + size[:-1]) // MIN_WORDS > since[:-1] // MIN_WORDS)
-    return cut | passed
-
-
-class Paragraphs:
-    """Of a block, the paragraphs of at least MIN_WORDS words: text, place in it, first word and word after, bytes, key."""
-
-    def __init__(self, block: Block):
-        n = len(block.hashes)
-        new = np.zeros(n, bool)
-        if n:
-            new[0] = True
-            lines = np.append(0, np.cumsum(block.data == 10))
-            new[1:] = _STOP[block.data[block.ends[:-1] - 1]] | (lines[block.starts[1:]] > lines[block.ends[:-1]])
-        new_text = np.zeros(n, bool)
-        new_text[block.first[:-1][np.diff(block.first) > 0]] = True
-        new |= new_text
-        a = np.flatnonzero(new)
-        # in sentences of over LONG_WORDS words, words that their hash picks begin a part: the same ones wherever the words are
-        long = np.repeat(np.diff(np.append(a, n)) > LONG_WORDS, np.diff(np.append(a, n)))
-        new[long & (block.hashes % N.U(ANCHOR_EVERY) == 0)] = True
-        a = np.flatnonzero(new)
-        a = a[_joined(a, n, new_text)]
-        b = np.append(a[1:], n)[: len(a)]
-        long = b - a >= MIN_WORDS
-        self.a, self.b = a[long], b[long]
-        text = np.searchsorted(block.first, self.a, "right") - 1
-        self.row = block.rows[text]
-        count = np.bincount(text, minlength=len(block))
-        self.place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-        base = block.offsets[text]
-        self.start, self.end = block.starts[self.a] - base, block.ends[self.b - 1] - base if len(self.b) else self.a
-        self.key = runs_hash(block.hashes, self.a, self.b).view(np.int64)
-        self.block = block
-
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window hashes, their paragraph) of some paragraphs."""
-        n = self.b[which] - self.a[which] - WIDTH + 1
-        owner = np.repeat(np.arange(len(which)), n)
-        s = self.a[which][owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return runs_hash(self.block.hashes, s, s + WIDTH), owner
-
-    def signatures(self, which: np.ndarray, n_hashes: int) -> np.ndarray:
-        values, owner = self.windows(which)
-        return N.minhash(values, np.searchsorted(owner, np.arange(len(which))), n_hashes)
-
-    def sets(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct sorted windows, cuts) of some paragraphs."""
-        values, _, starts, _ = N.distinct_sets(*self.windows(which))
-        return values, np.append(starts, len(values))
-
-
-def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Paragraphs]]:
-    for batch in batches:
+    since = (total - size) - np.maximum.accumulate(np.where(alone, total - size, 0))
+    passed = np.append(True, (since[:-1] + size[:-1]) // PASSAGE_WORDS > since[:-1] // PASSAGE_WORDS)
+    a = a[alone | passed]
+    b = np.append(a[1:], n)
+    long = b - a >= PASSAGE_WORDS
+    return a[long], b[long]
+
+
+def _minhash(block: Block, a: np.ndarray, b: np.ndarray, n_hashes: int) -> np.ndarray:
+    n = b - a - WIDTH + 1
+    starts = np.cumsum(n) - n
+    s = np.repeat(a - starts, n) + np.arange(n.sum())
+    return N.minhash(runs_hash(block.hashes, s, s + WIDTH), starts, n_hashes)
+
+
+def collision_keys(block: Block, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, first word in it, words) for all paragraphs of a block."""
+    a, b = short_paragraphs(block)
+    c, d = long_paragraphs(block)
+    keys = [runs_hash(block.hashes, a, b).view(np.int64)]
+    if len(c):
+        keys.append(N.band_hashes(_minhash(block, c, d, bands * rows), bands, rows).reshape(-1))
+        a, b = np.append(a, np.repeat(c, bands)), np.append(b, np.repeat(d, bands))
+    text = np.searchsorted(block.first, a, "right") - 1
+    return np.concatenate(keys), text, (a - block.first[text]).astype(np.int32), (b - a).astype(np.int32)
+
+
+def _two_first(key, id_, row, place, n):
+    """Of each key, the rows of the two first documents; the first one's n is the number of all of the key."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else order
+    size = np.diff(np.append(start, len(k)))
+    one, more = order[start[size == 1]], order[np.repeat(size > 1, size)]
+    more = more[np.lexsort((place[more], row[more], id_[more], key[more]))]
+    k, r = key[more], row[more]
+    if not len(more):
+        return tuple(x[one] for x in (key, id_, row, place, n))
+    new_key = np.append(True, k[1:] != k[:-1])
+    fresh = new_key | np.append(True, r[1:] != r[:-1])
+    total = np.add.reduceat(n[more], np.flatnonzero(new_key))
+    rank = np.cumsum(fresh) - np.maximum.accumulate(np.where(new_key, np.cumsum(fresh), 0))
+    kept = np.flatnonzero(fresh & (rank < 2))
+    count = np.where(new_key[kept], total[np.cumsum(new_key)[kept] - 1], 0)
+    chosen = np.append(one, more[kept])
+    return (*(x[chosen] for x in (key, id_, row, place)), np.append(n[one], count))
+
+
+def _shared(key, id_, row, place, n) -> pa.RecordBatch:
+    """The keys of two documents or more; combined rows of a key stand next to each other, the first one first."""
+    first = np.flatnonzero(key[1:] == key[:-1])
+    columns = [key[first], n[first], n[first], row[first], place[first], row[first + 1], place[first + 1]]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "n", "copies", "row1", "place1", "row2", "place2"])
+
+
+def _chains(row, place, words, other, there, gone, key, copies) -> pa.RecordBatch:
+    """Candidates: successive paragraphs joined to the same stretch of the same document; of each, the rarest paragraph is where the two documents are laid together."""
+    order = np.lexsort((key, place, other, row))
+    row, place, words, other, there, gone, key, copies = (x[order] for x in (row, place, words, other, there, gone, key, copies))
+    place, words, there = (x.astype(np.int64) for x in (place, words, there))
+    if len(row):
+        fresh = np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1]) | (key[1:] != key[:-1]))
+        row, place, words, other, there, gone, key, copies = (x[fresh] for x in (row, place, words, other, there, gone, key, copies))
+    n = len(row)
+    pair = np.append(True, (row[1:] != row[:-1]) | (other[1:] != other[:-1]))[:n]
+    group = np.cumsum(pair) << 32
+    reach = np.maximum.accumulate(group + place + words)
+    new = pair.copy()
+    new[1:] |= (group + place)[1:] > reach[:-1] + CHAIN_WORDS
+    new[1:] |= np.abs(np.diff(there - place)) > CHAIN_WORDS
+    first = np.flatnonzero(new)
+    chain = np.cumsum(new) - 1
+    best = np.lexsort((key, copies, chain))[first] if n else first
+    end = np.maximum.reduceat(place + words, first) if n else first
+    keys = pa.ListArray.from_arrays(pa.array(np.append(first, n).astype(np.int32)), pa.array(key))
+    columns = [row[first], place[first], end, other[first], place[best], there[best], gone[first] > 0]
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), keys], ["row", "first", "after", "other", "here", "there", "gone", "keys"])
+
+
+_CHAIN = "row long, first long, after long, other long, here long, there long, gone boolean, keys array<long>"
+
+
+def _candidates(texts: DataFrame, threshold: float, recall: float, rows: int) -> DataFrame:
+    bands = N.tune(threshold, recall, rows)
+
+    def paragraphs(batch: pa.RecordBatch, sent: set[int]) -> Iterator[tuple[np.ndarray, ...]]:
+        ids = batch.column("row").to_numpy()
+        fresh = np.array([x not in sent and not sent.add(x) for x in ids.tolist()], bool)
+        if not fresh.all():
+            batch = batch.filter(pa.array(fresh))
+        ids, first = batch.column("row").to_numpy(), batch.column("id").to_numpy()
         for block in blocks(batch.column("text")):
-            yield batch, Paragraphs(block)
+            key, text, place, words = collision_keys(block, bands, rows)
+            at = block.rows[text]
+            yield key, first[at], ids[at], place, words
 
+    counted, listed = set(), set()  # each task has its own
 
-def _near_keys(texts: DataFrame, threshold: float, recall: float, rows: int) -> DataFrame:
-    """(key, root) for paragraph keys tied to another key."""
-    bands = N.tune(threshold, recall, rows)
-    n_hashes = bands * rows
-
-    def band(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for _, p in _paragraphs([batch]):
-            _, which = np.unique(p.key, return_index=True)
-            if len(which):
-                yield N.band_hashes(p.signatures(which, n_hashes), bands, rows).reshape(-1), np.repeat(p.key[which], bands)
-
-    groups = common.written(N.candidate_groups(texts.select("text"), band), "paragraph-groups")
-    n = groups.count()
-    listed = None
-    if n <= BROADCAST_KEYS:
-        listed = texts.sparkSession.sparkContext.broadcast(np.sort(groups.select("id").toArrow().column("id").to_numpy()))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
-        for _, p in _paragraphs(batches):
-            keys, which = np.unique(p.key, return_index=True)
-            if listed is not None:
-                which = which[member(keys, listed.value)]
-            which = np.array([w for w in which if int(p.key[w]) not in sent], np.int64)
-            if not len(which):
-                continue
-            if listed is not None:
-                sent.update(p.key[which].tolist())
-            values, cuts = p.sets(which)
-            signature = _binary(N.minhash(values, cuts[:-1], n_hashes).reshape(-1), np.arange(len(which) + 1) * n_hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(p.key[which]), pa.array(np.diff(cuts)), signature, _binary(values, cuts)], ["key", "size", "signature", "items"])
-
-    found = common.map_arrow(texts.select("text"), gather, "key long, size long, signature binary, items binary")
-    # a task sends a key once; the copies of several tasks meet here
-    one = found.join(groups, F.col("key") == F.col("id")).groupBy("key", "root").agg(*[F.first(c).alias(c) for c in ("size", "signature", "items")])
-    one = common.written(one, "paragraph-sets")
-    members = N.with_blocks(one, "size").withColumn("copies", F.lit(1).cast("long"))
-    links = N.verify(members.select("root", "blocks", "key", "copies", "signature", "items"), threshold, n_hashes)
-    return components(links.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "key")
-
-
-def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per repeated passage: id, start and end (bytes in the UTF-8 text), n_words, class_id (the cluster of its first paragraph), first_id (the document where that cluster
-    occurs first), removed (false for first occurrences)."""
-    spark = docs.sparkSession
-    texts = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text")).filter("id IS NOT NULL")
-    near = common.written(_near_keys(texts, threshold, recall, rows), "paragraph-near")
-
-    # keys that occur once and are tied to no other play no part; where the tied ones are too many to be told to all tasks, the join tells
-    tied_keys = None
-    if near.count() <= BROADCAST_KEYS:
-        tied_keys = spark.sparkContext.broadcast(np.sort(near.select("key").toArrow().column("key").to_numpy()))
+    def holders(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for key, id_, row, place, _ in paragraphs(batch, counted):
+            yield key, id_, row, place, np.ones(len(key), np.int64)
 
     def places(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        for _, p in _paragraphs([batch]):
-            ids, place = batch.column("id").to_numpy()[p.row], p.place.astype(np.int32)
-            yield p.key, ids, place, ids, place
-
-    def ends(key, id_, place, last_id, last_place):
-        """Each key's first and last place."""
-        order = np.lexsort((place, id_, key))
-        first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(key) else order
-        low = order[first]
-        order = np.lexsort((last_place, last_id, key))
-        high = order[np.append(first[1:], len(key)) - 1] if len(key) else order
-        return key[low], id_[low], place[low], last_id[high], last_place[high]
-
-    def repeated(key, id_, place, last_id, last_place) -> pa.RecordBatch:
-        keep = (id_ != last_id) | (place != last_place)
-        keep |= member(key, tied_keys.value) if tied_keys is not None else True
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, id_, place, last_id, last_place)], ["key", "id1", "place1", "id2", "place2"])
-
-    # a document's place counts once: repeated rows of an id are one document
-    types = (np.int64, np.int64, np.int32, np.int64, np.int32)
-    firsts = packed.shuffle(texts, places, ends, repeated, types, "key long, id1 long, place1 int, id2 long, place2 int")
-    firsts = firsts.select("key", F.struct(F.col("id1").alias("id"), F.col("place1").alias("place")).alias("first"), F.struct(F.col("id2").alias("id"), F.col("place2").alias("place")).alias("last"))
-    tied = firsts.join(near.withColumnRenamed("key", "key_"), F.col("key") == F.col("key_"), "left").filter("root IS NOT NULL OR first <> last")
-    tied = common.written(tied.select("key", F.coalesce("root", "key").alias("root"), "first", "last"), "paragraph-keys")
-    several = tied.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first <> last").select(F.col("root").alias("root_"), F.col("first.id").alias("first_id"), F.col("first.place").alias("first_place"))
-    listed = common.written(tied.select("key", "root").join(several, F.col("root") == F.col("root_")).drop("root_"), "paragraph-repeated")
-    few = listed.count() <= BROADCAST_KEYS
-    known = spark.sparkContext.broadcast(np.sort(listed.select("key").toArrow().column("key").to_numpy())) if few else None
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, p in _paragraphs(batches):
-            w = np.flatnonzero(member(p.key, known.value)) if known is not None else np.arange(len(p.key))
-            if len(w):
-                ids = batch.column("id").to_numpy()[p.row[w]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, p.place[w].astype(np.int32), p.key[w], p.start[w], p.end[w], (p.b - p.a)[w])], ["id", "place", "key", "start", "end", "n_words"])
-
-    rows_ = common.map_arrow(texts, occurrences, "id long, place int, key long, start long, end long, n_words long")
-    rows_ = rows_.join(listed.withColumnRenamed("key", "key_"), F.col("key") == F.col("key_")).withColumn("removed", ~((F.col("id") == F.col("first_id")) & (F.col("place") == F.col("first_place"))))
-    own = W.partitionBy("id", "removed").orderBy("place", "start", "end", "key")
-    rows_ = rows_.withColumn("run", F.col("place") - F.dense_rank().over(W.partitionBy("id", "removed").orderBy("place"))).withColumn("n", F.row_number().over(own))
-    runs = rows_.groupBy("id", "removed", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min(F.struct("n", "root", "first_id")).alias("head"))
-    runs = runs.filter(F.col("n_words") >= run_words)
-    return runs.select(F.col("id").alias(id_col), "start", "end", "n_words", F.col("head.root").alias("class_id"), F.col("head.first_id").alias("first_id"), "removed")
+        for key, _, row, place, words in paragraphs(batch, listed):
+            yield key, row, place, words
+
+    i8, i4 = np.int64, np.int32
+    shared = packed.shuffle(texts, holders, _two_first, _shared, (i8, i8, i8, i4, i8), "key long, n long, copies long, row1 long, place1 int, row2 long, place2 int")
+    shared = common.written(shared, "paragraph-keys")
+    schema = "key long, row long, place int, words int, copies long, row1 long, place1 int, row2 long, place2 int"
+    found = common.written(packed.look_up(texts, places, (i8, i8, i4, i4), ["key", "row", "place", "words"], shared, (i8, i8, i4, i8, i4), schema), "paragraph-places")
+
+    def joined(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        c = {name: batch.column(name).to_numpy() for name in batch.schema.names}
+        own = c["row"] == c["row1"]
+        yield c["row"], c["place"], c["words"], np.where(own, c["row2"], c["row1"]), np.where(own, c["place2"], c["place1"]), (~own).astype(np.int8), c["key"], c["copies"]
+
+    same = lambda *columns: columns
+    return common.written(packed.shuffle(found, joined, same, _chains, (i8, i4, i4, i8, i4, np.int8, i8, i8), _CHAIN), "passage-candidates")
+
+
+_SLICE = "own boolean, row long, id long, base long, first long, other long, here long, there long, gone boolean, keys array<long>, text string"
+
+
+def _slices(texts: DataFrame, chains: DataFrame) -> DataFrame:
+    """The words of candidates and around (own), and those that others are laid to."""
+    here, around = F.col("here"), F.lit(AROUND)
+    own = chains.select("row", F.struct(F.lit(True).alias("own"), (F.col("first") - around).alias("first"), (F.col("after") + around).alias("after"), "other", "here", "there", "gone", "keys").alias("want"))
+    # a document's paragraphs bound its slices, however many candidates are laid to one; similar stretches differ in length by a quarter at most
+    there = chains.groupBy("other", "there").agg(F.max(here - F.col("first")).alias("left"), F.max(F.col("after") - here).alias("right"))
+    first = (F.col("there") - F.col("left") * 5 / 4).cast("long") - around
+    after = (F.col("there") + F.col("right") * 5 / 4).cast("long") + around
+    none = F.lit(0).cast("long")
+    laid = there.select(F.col("other").alias("row"), F.struct(F.lit(False).alias("own"), first.alias("first"), after.alias("after"), none.alias("other"), none.alias("here"), "there", F.lit(False).alias("gone"), F.array().cast("array<bigint>").alias("keys")).alias("want"))
+    wanted = common.written(own.union(laid).groupBy(F.col("row").alias("row_")).agg(F.collect_list("want").alias("wants")), "passage-wants")
+    seen: set[int] = set()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("own", pa.bool_()), ("row", pa.int64()), ("id", pa.int64()), ("base", pa.int64()), ("first", pa.int64()), *((c, pa.int64()) for c in ("other", "here", "there")), ("gone", pa.bool_()), ("keys", pa.list_(pa.int64())), ("text", pa.string())])
+        held, size = [], 0
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+        for batch in batches:
+            rows, ids = batch.column("row").to_pylist(), batch.column("id").to_pylist()
+            for block in blocks(batch.column("text")):
+                for k, r in enumerate(block.rows):
+                    if rows[r] in seen:
+                        continue
+                    seen.add(rows[r])
+                    low, n, base = int(block.first[k]), int(block.first[k + 1] - block.first[k]), int(block.offsets[k])
+                    for w in batch.column("wants")[int(r)].as_py():
+                        a, b = max(w["first"], 0), min(w["after"], n)
+                        if a >= b:
+                            continue
+                        start, end = int(block.starts[low + a]), int(block.ends[low + b - 1])
+                        held.append((w["own"], rows[r], ids[r], start - base, a, w["other"], w["here"], w["there"], w["gone"], w["keys"], block.data[start:end].tobytes().decode()))
+                        size += end - start
+                        if size > 4 << 20:
+                            yield flush()
+                            held, size = [], 0
+        if held:
+            yield flush()
+
+    return common.written(common.map_arrow(texts.join(wanted, F.col("row") == F.col("row_")).select("row", "id", "text", "wants"), cut, _SLICE), "passage-slices")
+
+
+def _runs(i: np.ndarray, j: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """From equal windows i of one text and j of the other: (first and last window here, first and last there) of the passages."""
+    new = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1
+    first, last = np.append(0, new), np.append(new, len(i)) - 1
+    now = None
+    for a, b, c, d in zip(i[first].tolist(), i[last].tolist(), j[first].tolist(), j[last].tolist(), strict=True):
+        if now is not None:
+            s, e, t, u, m = now
+            low, high, both = min(t, c), max(u, d), m + b - a + 1
+            near = a - e - 1 <= BRIDGE_WORDS + WIDTH - 1 and abs(c - u - 1) <= BRIDGE_WORDS + WIDTH - 1
+            if near and both >= threshold * ((b - s + 1) + (high - low + 1) - both):
+                now = (s, b, low, high, both)
+                continue
+            yield s, e, t, u
+        now = (a, b, c, d, b - a + 1)
+    if now is not None:
+        yield now[:4]
+
+
+def _whole(text: pa.Array) -> Block:
+    """One block of a few texts."""
+    (found,) = blocks_raw(text, 1 << 62)
+    return Block(found[3], found[2], np.arange(len(text)), False)
+
+
+def passages(here: pa.Array, there: pa.Array, shift: np.ndarray, threshold: float = THRESHOLD, least: int = PASSAGE_WORDS) -> Iterator[tuple[int, int, int, int, int]]:
+    """(pair, first word, word after, first byte, byte after) in ``here`` of the passages that two texts share; word k of here is laid to word k + shift of there."""
+    x, y = _whole(here), _whole(there)
+
+    def windows(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.maximum(np.diff(block.first) - WIDTH + 1, 0)
+        owner = np.repeat(np.arange(len(n)), n)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        s = block.first[:-1][owner] + within
+        # a window is compared with those of its own pair only
+        return mix(runs_hash(block.hashes, s, s + WIDTH) + owner.astype(U) * U(0x9E3779B97F4A7C15)), owner, within
+
+    (hx, ox, wx), (hy, _, wy) = windows(x), windows(y)
+    if not len(hx) or not len(hy):
+        return
+    order = np.argsort(hy, kind="stable")
+    k = np.searchsorted(hy[order], hx)
+    k[k == len(hy)] = 0
+    k = order[k]
+    j = np.where(hy[k] == hx, wy[k], -1)
+    count = np.maximum(np.diff(y.first) - WIDTH + 1, 0)
+    base = np.cumsum(count) - count
+    straight = wx + shift[ox]
+    inside = (straight >= 0) & (straight < count[ox])
+    on = np.zeros(len(hx), bool)
+    on[inside] = hy[base[ox[inside]] + straight[inside]] == hx[inside]
+    j = np.where(on, straight, np.where(np.abs(j - straight) <= CHAIN_WORDS, j, -1))
+    cut = np.searchsorted(ox, np.arange(len(here) + 1))
+    for pair in range(len(here)):
+        mine = j[cut[pair] : cut[pair + 1]]
+        i = np.flatnonzero(mine >= 0)
+        if not len(i):
+            continue
+        for s, e, t, u in _runs(i, mine[i], threshold):
+            if e - s + WIDTH < least:
+                continue
+            a, b = hx[cut[pair] + s : cut[pair] + e + 1], hy[base[pair] + t : base[pair] + u + 1]
+            both = len(np.intersect1d(a, b))
+            if both >= threshold * (len(np.unique(a)) + len(np.unique(b)) - both) - 1e-9:
+                low, high = x.first[pair] + s, x.first[pair] + e + WIDTH
+                yield pair, s, e + WIDTH, int(x.starts[low] - x.offsets[pair]), int(x.ends[high - 1] - x.offsets[pair])
+
+
+_FOUND = "row long, id long, first long, after long, start long, end long, removed boolean, first_id long, key long, keys array<long>"
+
+
+def _verified(slices: DataFrame, threshold: float, least: int) -> DataFrame:
+    laid = slices.filter("NOT own").select(F.col("row").alias("row_"), F.col("there").alias("there_"), F.col("first").alias("first_"), F.col("id").alias("id_"), F.col("text").alias("text_"))
+    pairs = slices.filter("own").join(laid, (F.col("other") == F.col("row_")) & (F.col("there") == F.col("there_")))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 64):
+                batch = whole.slice(at, 64)
+                c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("row", "id", "base", "first", "here", "there", "first_", "id_", "gone")}
+                shift = (c["there"] - c["first_"]) - (c["here"] - c["first"])
+                found = list(passages(batch.column("text"), batch.column("text_"), shift, threshold, least))
+                if not found:
+                    continue
+                pair, a, b, s, e = (np.array(x, np.int64) for x in zip(*found, strict=True))
+                keys = batch.column("keys").take(pa.array(pair))
+                least_key = np.minimum.reduceat(keys.flatten().to_numpy(), np.append(0, np.cumsum(keys.value_lengths().to_numpy())[:-1]))
+                columns = [c["row"][pair], c["id"][pair], c["first"][pair] + a, c["first"][pair] + b, c["base"][pair] + s, c["base"][pair] + e, c["gone"][pair], np.where(c["gone"][pair], c["id_"][pair], c["id"][pair]), least_key]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), keys], ["row", "id", "first", "after", "start", "end", "removed", "first_id", "key", "keys"])
+
+    names = ["row", "id", "base", "first", "here", "there", "gone", "keys", "text", "first_", "id_", "text_"]
+    return common.written(common.map_arrow(pairs.select(*names), verify, _FOUND), "passages-verified")
+
+
+def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, least_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per repeated passage: id, start and end (bytes in the UTF-8 text), n_words, class_id (its cluster), first_id (the id of the document it was found to repeat, or its own for the first copy), removed
+    (false for first copies), row_id (``common.row_id``). A document's overlapping passages are one. least_words: PASSAGE_WORDS or more, as shorter passages may hold no whole paragraph."""
+    text = docs[f"`{text_col}`"]
+    texts = docs.select(F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit(NO_ID)).alias("id"), common.row_id(docs, id_col, text_col).alias("row"), text.alias("text")).filter(text.isNotNull())
+    found = _verified(_slices(texts, _candidates(texts, threshold, recall, rows)), threshold, least_words)
+    before = F.max("after").over(W.partitionBy("row", "removed").orderBy("first", "after").rowsBetween(W.unboundedPreceding, -1))
+    found = found.withColumn("new", F.coalesce((F.col("first") > before).cast("int"), F.lit(0)))
+    found = found.withColumn("part", F.sum("new").over(W.partitionBy("row", "removed").orderBy("first", "after").rowsBetween(W.unboundedPreceding, 0)))
+    found = common.written(found.withColumn("head", F.min("key").over(W.partitionBy("row", "removed", "part"))), "passage-parts")
+    ties = components(found.select(F.col("head").alias("a"), F.explode("keys").alias("b"))).withColumnRenamed("id", "id_")
+    whole = found.groupBy("row", "id", "removed", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"), F.max("after").alias("after"), F.min("head").alias("head"), F.min("first_id").alias("first_id"))
+    # a first copy that lies in a removed passage says nothing more
+    gone = F.collect_list(F.when(F.col("removed"), F.struct("first", "after"))).over(W.partitionBy("row"))
+    whole = whole.withColumn("gone", gone).filter(F.col("removed") | ~F.exists("gone", lambda x: (x["first"] <= F.col("first")) & (x["after"] >= F.col("after"))))
+    whole = whole.withColumn("n_words", F.col("after") - F.col("first")).drop("gone")
+    whole = common.written(whole, "passages").join(common.written(ties, "passage-classes"), F.col("head") == F.col("id_"), "left").withColumn("class_id", F.coalesce("root", "head"))
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return whole.select(known("id").alias(id_col), "start", "end", "n_words", "class_id", known("first_id").alias("first_id"), "removed", F.col("row").alias("row_id"))
 
 
 def remove(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without their removed passages; a text that is nothing but such passages goes. All columns are kept in place."""
-    spans = passages.filter("removed").groupBy(F.col(id_col).alias("id__")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans__"))
-    spans = common.broadcast_if_small(common.written(spans, "passage-spans"), 100_000)
-    joined = docs.join(spans, docs[f"`{id_col}`"] == F.col("id__"), "left")
+    """The documents without their removed passages; a text that is nothing but such passages goes. All columns are kept in place. Passages belong to rows by id and text, so no other row of the id is cut."""
+    spans = passages.filter("removed").groupBy(F.col("row_id").alias("row__")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans__"))
+    spans = common.written(spans, "passage-spans")
+    joined = docs.join(spans, common.row_id(docs, id_col, text_col) == F.col("row__"), "left")
+    text = docs[f"`{text_col}`"]
     cut = F.aggregate(
         "spans__",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text")),
-        lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["text"], _bytes(F.col(f"`{text_col}`"), a["at"], s["start"])).alias("text")),
-        lambda a: F.concat(a["text"], _bytes(F.col(f"`{text_col}`"), a["at"], F.octet_length(F.col(f"`{text_col}`")).cast("long"))),
+        lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["text"], _bytes(text, a["at"], s["start"])).alias("text")),
+        lambda a: F.concat(a["text"], _bytes(text, a["at"], F.octet_length(text).cast("long"))),
     )
-    out = joined.withColumn("cut__", F.when(F.col("spans__").isNotNull(), cut).otherwise(F.col(f"`{text_col}`")))
+    out = joined.withColumn("cut__", F.when(F.col("spans__").isNotNull(), cut).otherwise(text))
     kept = out.filter(F.col("spans__").isNull() | F.col("cut__").rlike(common.WORD))
     return kept.select(*[F.col("cut__").alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns])
 
 
 def _bytes(text, start, end):
-    """The text between two byte places, which lie at character borders."""
+    """The text between two byte places, which lie at word borders."""
     return F.substring(text.cast("binary"), (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int")).cast("string")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import common, components, decontaminate, near_duplicates, near_sets, substring_dedup
+from quillon.llm import common, components, decontaminate, near_duplicates, near_sets, packed, substring_dedup
 from tests.llm.helpers import WORD, documents, odd_rows, prose, words, write_tables
 
 
@@ -93,34 +93,74 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("few", [1_000_000, 0])
-def test_substrings(spark, monkeypatch, few):
-    monkeypatch.setattr(substring_dedup, "BROADCAST_KEYS", few)
+@pytest.mark.parametrize("hot", [2048, 0])
+def test_substrings(spark, monkeypatch, hot):
+    monkeypatch.setattr(packed, "HOT_ROWS", hot)
     rng = random.Random(7)
     passage, other = prose(rng, 8), prose(rng, 8)
-    line = words(rng, 9).capitalize() + "."
+    line = words(rng, 30).capitalize() + "."
     clean = [prose(rng, 6) + "\n" + line + "\n" + prose(rng, 5) for _ in range(20)]
     holders = {
         50: prose(rng, 4) + " and so " + passage + " then " + prose(rng, 4), 51: words(rng, 12) + " " + passage + " " + words(rng, 30), 52: prose(rng, 3) + "\n" + passage + "\n" + prose(rng, 3),
         60: prose(rng, 3) + " " + other + " " + prose(rng, 2), 61: prose(rng, 3) + " " + edited(rng, other, 2) + " " + prose(rng, 2), 70: passage,
     }
     rows = [(i, t, None, None) for i, t in enumerate(clean)] + [(i, t, None, None) for i, t in holders.items()] + [(900, None, None, None), (901, "", None, None), (None, passage, None, None), (902, "x. " * 2, None, None)]
+    rows += [(50, prose(rng, 9), None, None), (51, prose(rng, 9), None, None), (None, prose(rng, 9), None, None), (903, (words(rng, 20) + " ") * 4, None, None)]
     docs = documents(spark, rows)
     found = substring_dedup.repeated_passages(docs).collect()
-    assert {r.doc_id for r in found} == set(holders)
-    assert {r.doc_id for r in found if r.removed} == {51, 52, 61, 70}
-    texts = {i: t for i, t, _, _ in rows}
+    assert {r.doc_id for r in found} == {*holders, None}
+    assert {r.doc_id for r in found if r.removed} == {51, 52, 61, 70, None}
+    assert len({r.class_id for r in found}) == 2 and {r.first_id for r in found if r.removed} == {50, 60}
     for r in found:
-        span = texts[r.doc_id].encode()[r.start : r.end].decode()
-        assert len(WORD.findall(span)) == r.n_words >= 30
-        source = passage if r.doc_id in (50, 51, 52, 70) else None
-        assert source is None or span in source
-    cut = {r.doc_id: r for r in substring_dedup.remove(docs, substring_dedup.repeated_passages(docs)).collect()}
-    assert set(cut) == {i for i, *_ in rows} - {70}
-    assert all(cut[i].text == texts[i] for i in (*range(20), 50, 60, 900, 901, None))
-    tail = " ".join(passage.split(" ")[-30:])
-    assert tail in cut[50].text and all(tail not in cut[i].text for i in (51, 52))
-    assert cut[0].key == "x" and list(cut[0].asDict()) == docs.columns
+        span = next(s for i, t, _, _ in rows if i == r.doc_id and t is not None and (s := t.encode()[r.start : r.end].decode()) in (passage if r.doc_id not in (60, 61) else t))
+        assert len(WORD.findall(span)) == r.n_words >= 50
+        assert r.doc_id in (60, 61) or span == passage
+    cut = substring_dedup.remove(docs, substring_dedup.repeated_passages(docs)).collect()
+    # rows without a passage of their own are whole, whatever their ids; a row that is one passage goes
+    gone = [(i, t) for i, t, _, _ in rows if t == passage]
+    left = [(i, t.replace(passage, "") if i in (51, 52) else t) for i, t, _, _ in rows if (i, t) not in gone and i != 61]
+    show = lambda x: sorted((i or -1, t or "", t is None) for i, t in x)
+    assert show((r.doc_id, r.text) for r in cut if r.doc_id != 61) == show(left)
+    assert len(cut) == len(rows) - len(gone) and cut[0].key == "x" and list(cut[0].asDict()) == docs.columns
+
+
+def shared_passages(rows, n=50):
+    """The ids of documents that share n successive words with a document of other id or text, by brute force."""
+    holders = {}
+    for k, (_, text) in enumerate(rows):
+        w = WORD.findall(text or "")
+        for i in range(len(w) - n + 1):
+            holders.setdefault(tuple(w[i : i + n]), set()).add(k)
+    return {k for found in holders.values() if len({rows[x] for x in found}) > 1 for k in found}
+
+
+def test_substrings_find_every_repeat_of_fifty_words(spark):
+    """Passages of 50 to 60 words, some without any full stop, at any place of other texts; shorter ones are left alone."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):
+        passage = words(rng, rng.randint(50, 60)) if k % 2 else " ".join(prose(rng, 9).split(" ")[: rng.randint(50, 60)])
+        short = " ".join(passage.split(" ")[: rng.randint(30, 44)])
+        glue = lambda n: words(rng, rng.randint(0, n))
+        rows += [(3 * k, f"{glue(30)} {passage} {glue(30)}"), (3 * k + 1, f"{glue(90)}\n{passage} {glue(30)}"), (3 * k + 2, f"{glue(9)} {short}. {glue(30)}")]
+    want = {rows[k][0] for k in shared_passages(rows)}
+    got = substring_dedup.repeated_passages(documents(spark, [(i, t, None, None) for i, t in rows])).collect()
+    assert {r.doc_id for r in got} == want and len(want) == 120
+    assert {r.doc_id for r in got if r.removed} == {i for i in want if i % 3 == 1}
+
+
+def test_substrings_find_edited_passages(spark):
+    """Three sentences of twenty words, one word of the middle one changed: Jaccard 51 / 61."""
+    rng = random.Random(22)
+    rows, n = [], 40
+    for k in range(n):
+        w = words(rng, 60).split(" ")
+        w[19], w[39], w[59] = w[19] + ".", w[39] + ".", w[59] + "."
+        rows.append((2 * k, prose(rng, 3) + "\n" + " ".join(w) + "\n" + prose(rng, 3)))
+        w[rng.randrange(24, 36)] = "changed"
+        rows.append((2 * k + 1, prose(rng, 3) + "\n" + " ".join(w) + "\n" + prose(rng, 3)))
+    got = substring_dedup.repeated_passages(documents(spark, [(i, t, None, None) for i, t in rows])).collect()
+    assert len({r.doc_id for r in got}) >= 0.95 * len(rows)
 
 
 def brute_similarity(item, text):
