@@ -109,8 +109,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     digest = F.unhex(F.sha2(content.cast("binary"), 256))
     cache.append_misses(docs.select(digest.alias("digest"), content.alias("text")))
     keys = docs.select(docs[f"`{id_col}`"].alias(id_col), digest.alias("digest"), F.octet_length(content).cast("long").alias("n_bytes"))
-    # appends of two jobs at once may store a content twice, with the same count
-    stored = cache.stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # appends of two jobs at once may store a content twice, with the same count. Written, so that both sides of the join are plain shuffles, which AQE splits where many rows hold one content
+    stored = common.written(cache.stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return keys.join(stored, "digest", "left").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
