@@ -25,6 +25,7 @@ from quillon.llm import common
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 SAMPLE_ROWS = 2000
+SAMPLE_FILES = 4
 
 
 @dataclass(frozen=True)
@@ -81,13 +82,14 @@ def _fixed(d: DataFrame, **columns: Column) -> DataFrame:
     return one.select(*d.columns, *[F.col(f"fixed__.{k}").alias(k) for k in columns])
 
 
-def plan_cascade(figures: DataFrame, total: int, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """The rules by rejection per cost, with the seconds and the rejection rate measured on about ``sample_rows`` of the ``total`` rows, spread over the table."""
+def plan_cascade(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+    """The rules by rejection per cost, with the seconds and the rejection rate measured on about ``sample_rows`` rows of ``docs`` (doc_id, text), drawn row by row whatever their ids."""
+    total = docs.count()
     if not total or len(rules) < 2:
         return [(r, 0.0, 0.0) for r in rules]
-    fraction = min(1.0, sample_rows / total)
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(fraction * 1_000_003) + 1
-    sample = common.written(figures.filter(chosen).coalesce(2), "quality-sample").filter(~F.col("base_failed"))
+    # the scan keeps all its tasks; only the drawn rows are dealt anew
+    drawn = docs.sample(min(1.0, sample_rows / total), seed=5).repartition(SAMPLE_FILES)
+    sample = common.written(base_figures(drawn), "quality-sample").filter(~F.col("base_failed"))
 
     def run(passes: Column) -> tuple[float, float]:
         began = time.perf_counter()
@@ -107,9 +109,10 @@ def plan_cascade(figures: DataFrame, total: int, rules: Sequence[Rule], sample_r
 def quality(docs: DataFrame, rules: Sequence[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, the base figures, base_failed, kept, and failed_rule (``base``, the first rule of this run's order that fails, or null)."""
     rules = default_rules() if rules is None else list(rules)
-    figures = base_figures(docs, id_col, text_col)
+    docs = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
+    figures = base_figures(docs)
     verdict = F.when(F.col("base_failed"), "base")
-    for rule, _, _ in plan_cascade(figures, docs.count(), rules):
+    for rule, _, _ in plan_cascade(docs, rules):
         verdict = verdict.when(~rule.passes, rule.name)
     judged = figures.withColumn("failed_rule", verdict)
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

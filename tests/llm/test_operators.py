@@ -196,7 +196,7 @@ def test_cascade_order(spark):
     rng = random.Random(6)
     df = documents(spark, [(i, prose(rng, 30) if i % 4 else prose(rng, 6).upper(), None, None) for i in range(400)])
     rules = {r.name: r for r in quality.default_rules()}
-    order = quality.plan_cascade(quality.base_figures(df), 400, [rules["few_bullets"], rules["not_shouting"]])
+    order = quality.plan_cascade(df, [rules["few_bullets"], rules["not_shouting"]])
     assert [r.name for r, _, _ in order] == ["not_shouting", "few_bullets"] and abs(order[0][2] - 0.25) < 0.01
 
 
