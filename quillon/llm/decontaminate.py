@@ -7,7 +7,9 @@ similarity; a copy with a quarter of its words changed still scores above 0.6. S
 
 The seeds of up to BLOCK_ITEMS items are broadcast (bounded by the items' words); larger benchmarks are taken in blocks of items, each against all documents. Nothing is shuffled but the seeds' counts.
 
-Defined results: null or blank items and texts match nothing; items shorter than a seed are one seed; repeated items and documents each give their rows; null ids are carried; other columns are ignored.
+Items of fewer than LEAST_WORDS words would match every text that uses these words; they are left out, and ``left_out`` lists them.
+
+Defined results: null or blank items and texts match nothing; repeated items and documents each give their rows; null ids are carried; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ FEW_SEEDS = 4
 SIMILARITY = 0.6
 BLOCK_ITEMS = 20_000
 MISMATCH = GAP = 0.5
+LEAST_WORDS = 5
 
 
 def least_seeds(length: int, similarity: float) -> tuple[int, int]:
@@ -178,10 +181,19 @@ def _hits(items: Items, texts: pa.Array, similarity: float) -> dict[tuple[int, i
     return best
 
 
+def _too_short(text):
+    return F.coalesce(F.regexp_count(text, F.lit(common.WORD)) < LEAST_WORDS, F.lit(True))
+
+
+def left_out(benchmark: DataFrame, item_text: str = "text") -> DataFrame:
+    """The items, with all columns, that are too short to be looked for: null, blank, or of fewer than LEAST_WORDS words."""
+    return benchmark.filter(_too_short(benchmark[f"`{item_text}`"]))
+
+
 def _item_blocks(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, block_items: int, similarity: float) -> list:
     """Broadcast blocks of items with their rare seeds; docs: one column ``text``."""
     spark = docs.sparkSession
-    wanted = benchmark.select(benchmark[f"`{item_id}`"].cast("long").alias("item"), benchmark[f"`{item_text}`"].alias("text")).filter(F.col("text").rlike(common.WORD))
+    wanted = benchmark.select(benchmark[f"`{item_id}`"].cast("long").alias("item"), benchmark[f"`{item_text}`"].alias("text")).filter(~_too_short(F.col("text")))
     n, out = -(-wanted.count() // block_items), []
     for k in range(n):
         own = wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toArrow().sort_by([("item", "ascending"), ("text", "ascending")])

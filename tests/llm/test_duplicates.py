@@ -190,9 +190,10 @@ def test_decontamination(spark):
     rows += [(90, None, None, None), (91, "", None, None), (92, "say two words here", None, None), (None, items[0][1], None, None), (93, " ".join([items[1][1]] * 300), None, None)]
     docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     want = {}
+    assert sorted(r.item_id for r in decontaminate.left_out(bench).collect()) == [50, 51, 52]
     for i, t, _, _ in rows:
         for k, x in items:
-            if (s := brute_similarity(x, t)) >= 0.6:
+            if len(WORD.findall(x or "")) >= decontaminate.LEAST_WORDS and (s := brute_similarity(x, t)) >= 0.6:
                 want[i, k] = max(want.get((i, k), 0), s)
     for size in (20_000, 5):
         got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs, bench, block_items=size).collect()}
