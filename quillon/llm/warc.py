@@ -2,11 +2,12 @@
 
 Writer: one record per row, deduplicated by payload digest: of equal payloads the smallest id is a ``response``, the rest are
 ``revisit`` records without payload. Every record ends in CRLF CRLF, so Spark's text sink with that line separator writes
-the files, with its commit protocol, on any file system. Rows are written in files of bounded size.
+the files, with its commit protocol, on any file system. Files are bounded by bytes: records are written by classes of size, and the larger a class's records, the fewer go to a file.
 
 Salvage reader: each record is checked (version line, header syntax, Content-Length, record end, and the block's or
 payload's digest; for compressed members also inflation and CRC). After a failed check it searches for the next gzip member
-or version line, goes on there, and logs the bytes in between as a quarantined gap.
+or version line, goes on there, and logs the bytes in between as a quarantined gap. A member may hold several records: what a member gives is searched in the same way, and of a
+damaged or cut member all that it gives before the damage.
 
 Defined results: null html is an empty payload; null ids come last when the response is chosen and are read back as null;
 rows tied on the smallest id of a payload are all responses; other columns are ignored; no rows give no records.
@@ -15,6 +16,7 @@ rows tied on the smallest id of a payload are all responses; other columns are i
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
@@ -35,6 +37,7 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Most headers end within so many bytes.
 NEAR = 1 << 16
 NO_ID = (1 << 63) - 1
+FILE_BYTES = 64 << 20
 #: About 16 MB of digests.
 BROADCAST_ROWS = 200_000
 READ_SCHEMA = "archive string, offset long, kind string, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary, note string"
@@ -50,9 +53,12 @@ class Record:
 
 @dataclass
 class Gap:
+    """start and end: bytes of the archive. data: what is quarantined; from inside a member, it is inflated."""
+
     start: int
     end: int
     reason: str
+    data: bytes = b""
 
 
 @dataclass
@@ -105,21 +111,26 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     return Record(at, headers, block, payload), stop + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    stream, out = zlib.decompressobj(31), []
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """(what the member at ``at`` gives, the place after it, what is wrong with it)."""
+    stream, out, wrong = zlib.decompressobj(31), [], ""
     try:
         while not stream.eof and at < len(data):
+            before = stream.copy()
             out.append(stream.decompress(data[at : at + (1 << 16)]))
             at += 1 << 16
+        if not stream.eof:
+            wrong = "member without end"
     except zlib.error as e:
-        raise Damaged(f"member: {e}") from None
-    if not stream.eof:
-        raise Damaged("member without end")
-    return b"".join(out), min(at, len(data)) - len(stream.unused_data)
+        wrong = f"member: {e}"
+        with contextlib.suppress(zlib.error):  # all that it gives before the damage
+            for k in range(at, min(at + (1 << 16), len(data)), 16):
+                out.append(before.decompress(data[k : k + 16]))
+    return b"".join(out), min(at, len(data)) - len(stream.unused_data), wrong
 
 
-def salvage(data: bytes) -> Salvaged:
-    """All records that pass their checks, in order, and the byte gaps between them."""
+def salvage(data: bytes, members: bool = True) -> Salvaged:
+    """All records that pass their checks, in order, and the byte gaps between them. members: look for gzip members as well as for version lines."""
     out, at, size = Salvaged(), 0, len(data)
     bad, reason = -1, ""
     version = member = -1  # the next ones found so far, so that a search never reads bytes twice
@@ -127,20 +138,25 @@ def salvage(data: bytes) -> Salvaged:
     def close(end: int) -> None:
         nonlocal bad
         if bad >= 0:
-            out.gaps.append(Gap(bad, end, reason))
+            out.gaps.append(Gap(bad, end, reason, data[bad:end]))
             bad = -1
 
     while at < size:
         try:
-            if data.startswith(MEMBER, at):
-                inner, after = _inflate(data, at)
-                found, place = [], 0
-                while place < len(inner):
-                    record, place = _parse(inner, place)
-                    record.offset = at
-                    found.append(record)
+            if members and data.startswith(MEMBER, at):
+                content, after, wrong = _inflate(data, at)
+                inner = salvage(content, False)
+                if not inner.records:
+                    raise Damaged(wrong or (inner.gaps[0].reason if inner.gaps else "member without a record"))
                 close(at)
-                out.records += found
+                for r in inner.records:
+                    r.offset = at
+                out.records += inner.records
+                # a record cut off by the member's end is what the member's own gap tells
+                lost = inner.gaps[:-1] if wrong and inner.gaps and inner.gaps[-1].end == len(content) else inner.gaps
+                out.gaps += [Gap(at, at if wrong else after, f"in member: {g.reason}", g.data) for g in lost]
+                if wrong:
+                    raise Damaged(wrong)
             else:
                 record, after = _parse(data, at)
                 close(at)
@@ -151,9 +167,9 @@ def salvage(data: bytes) -> Salvaged:
                 bad, reason = at, str(e)
             if version <= at:
                 version = found.start() if (found := VERSION.search(data, at + 1)) else size
-            if member <= at:
+            if members and member <= at:
                 member = place if (place := data.find(MEMBER, at + 1)) >= 0 else size
-            at = min(version, member)
+            at = min(version, member) if members else version
     close(size)
     return out
 
@@ -161,7 +177,7 @@ def salvage(data: bytes) -> Salvaged:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Rows of READ_SCHEMA: kind ``record`` for each record, kind ``gap`` for each quarantined gap (payload: its bytes).
 
-    Spark reads each archive as one value, so an archive must stay under 2 GB; the writer's are far smaller.
+    Spark reads each archive as one value, so an archive must stay under 2 GB; the writer's are far smaller, but for one that holds a single larger record.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +191,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     h = r.headers
                     digest = h.get("warc-payload-digest", "")
                     rows.append((name.as_py(), r.offset, "record", h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), digest[5:] if digest.lower().startswith("sha1:") else None, int(h.get("x-payload-length", len(r.payload))), r.payload, None))
-                rows += [(name.as_py(), g.start, "gap", None, None, None, None, None, g.end - g.start, data[g.start : g.end], g.reason) for g in found.gaps]
+                rows += [(name.as_py(), g.start, "gap", None, None, None, None, None, len(g.data), g.data, g.reason) for g in found.gaps]
                 for k in range(0, len(rows), 500):
                     part = list(zip(*rows[k : k + 500], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, schema.types, strict=True)], schema=schema)
@@ -225,12 +241,20 @@ def _record_text(row_id: Column, url: Column, payload: Column, digest: Column, s
     )
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, records_per_file: int = 4096) -> None:
-    """Write uncompressed archives below ``path``."""
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, records_per_file: int = 4096, file_bytes: int = FILE_BYTES) -> None:
+    """Write uncompressed archives below ``path``. Of records of over file_bytes / records_per_file bytes, four times as large ones go to a file in a fourth of the number; so a file has about file_bytes bytes at most, or one record."""
     rows = with_roles(pages, id_col, url_col, payload_col, least_bytes)
     c = F.col
     text = _record_text(c("page_id"), c("url"), c("payload"), c("payload_digest"), c("payload_bytes"), c("first_id"))
-    rows.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    # a record is little longer than its url and payload; headers are under 1 KB
+    size = c("payload_bytes") + F.coalesce(F.octet_length("url"), F.lit(0)) + 1024
+    base = max(2048, file_bytes // records_per_file)
+    class_ = F.least(F.greatest(F.ceil(F.log(size / base) / F.log(F.lit(4.0))), F.lit(0)), F.lit(12)).cast("int")
+    sizes = pages.select(F.coalesce(F.octet_length(pages[f"`{payload_col}`"]), F.lit(0)).cast("long").alias("payload_bytes"), pages[f"`{url_col}`"].alias("url"))
+    # 13 classes at most, each with its own limit on records
+    for k in sorted(r.k for r in sizes.groupBy(class_.alias("k")).count().collect()) or [0]:
+        own = rows.filter(class_ == k).select(text.alias("value"))
+        own.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, records_per_file >> (2 * k))).mode("append").text(path)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

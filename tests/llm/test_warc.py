@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -72,6 +73,37 @@ def test_salvage():
     assert ids(warc.salvage(big + record(2, b"b"))) == [2]
 
 
+def test_salvage_inside_members():
+    rng = random.Random(4)
+    plain = [record(k, prose(rng, 30).encode()) for k in range(6)]
+    broken = b"".join(plain[:2]) + plain[2].replace(b"WARC/1.1", b"WARC/9.9") + b"".join(plain[3:])
+    found = warc.salvage(plain[0] + gzip.compress(broken) + gzip.compress(plain[1]))
+    assert ids(found) == [0, 0, 1, 3, 4, 5, 1] and [g.data for g in found.gaps] == [broken[len(plain[0] + plain[1]) :][: len(plain[2])]]
+    # one member, cut at nine tenths: all records that it gives whole
+    for share in (0.5, 0.9):
+        member = gzip.compress(b"".join(plain))
+        content = zlib.decompressobj(31).decompress(member[: int(len(member) * share)])
+        whole = [k for k in range(6) if sum(map(len, plain[: k + 1])) <= len(content)]
+        found = warc.salvage(member[: int(len(member) * share)])
+        assert ids(found) == whole and whole and len(found.gaps) == 1 and found.gaps[0].reason == "member without end"
+    # a changed byte in a member of several records: those before it, and the members after it
+    member = bytearray(gzip.compress(b"".join(plain)))
+    member[len(member) // 2] ^= 0x55
+    found = warc.salvage(bytes(member) + gzip.compress(record(9, b"after")))
+    assert set(ids(found)) >= {0, 9} and found.gaps
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(k, f"http://a/{k}", "".join(rng.choices("abcdefgh", k=300_000 if k % 10 == 0 else 3000))) for k in range(200)] + [(500, None, None), (501, "u" * 90_000, "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    path = f"{tmp_path}/warc"
+    warc.write_warc(spark.read.parquet(f"{tmp_path}/pages.parquet"), path, records_per_file=64, file_bytes=1 << 20)
+    sizes = [f.stat().st_size for f in (tmp_path / "warc").glob("part-*")]
+    assert max(sizes) < 3 << 20 and sum(sizes) > 6 << 20
+    assert sorted(int(r.record_id[12:-1]) for r in warc.read_warc(spark, f"file://{path}").collect() if r.kind == "record") == sorted(i for i, *_ in rows)
+
+
 def test_long_headers(spark, monkeypatch, tmp_path):
     rows = [(1, "http://a/" + "u" * 200_000, "<p>a</p>"), (2, "http://a/WARC/1.1", "b"), (3, "http://b/" + "v" * 70_000 + "WARC/1.1", "<p>a</p>")]
     spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
