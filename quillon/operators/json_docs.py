@@ -31,7 +31,7 @@ def get_text(c: Column, *path: str | int) -> Column:
 
 
 def _path(path: tuple[str | int, ...]) -> str:
-    return "$" + "".join(f"[{p}]" if isinstance(p, int) else f"['{p}']" for p in path)
+    return "$" + "".join(f"[{p}]" if isinstance(p, int) else f'["{p}"]' if "'" in p else f"['{p}']" for p in path)
 
 
 def equal(a: Column, b: Column) -> Column:
@@ -49,7 +49,7 @@ def _loads(text: str | None):
         return _BAD
     try:
         return json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return _BAD
 
 
@@ -57,18 +57,37 @@ class _BAD:
     """Stands for text that isn't JSON. A class, as it must stay the same object when functions are sent to workers."""
 
 
-def _same_scalar(a, b) -> bool:
-    if isinstance(a, bool) or isinstance(b, bool):
-        return isinstance(a, bool) and isinstance(b, bool) and a == b
-    return a == b and (isinstance(a, (int, float)) == isinstance(b, (int, float)))
+def _holds(part):
+    return lambda v: _contains(v, part)
 
 
-def _contains(doc, part) -> bool:
+def _is(v: Column, *kinds: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).rlike("^(" + "|".join(kinds) + r")\b"), F.lit(False))
+
+
+def _contains(v: Column, part) -> Column:
+    """Whether a VARIANT contains the part; the part is known when the query is planned, so this is one expression."""
     if isinstance(part, dict):
-        return isinstance(doc, dict) and all(k in doc and _contains(doc[k], v) for k, v in part.items())
+        out = _is(v, "OBJECT")
+        for k, x in part.items():
+            out = out & _contains(F.try_variant_get(v, _path((k,)), "variant"), x)
+        return out
     if isinstance(part, list):
-        return isinstance(doc, list) and all(any(_contains(d, p) for d in doc) for p in part)
-    return not isinstance(doc, (dict, list)) and _same_scalar(doc, part)
+        items = F.try_variant_get(v, "$", "array<variant>")
+        out = _is(v, "ARRAY")
+        for x in part:
+            out = out & F.coalesce(F.exists(items, _holds(x)), F.lit(False))
+        return out
+    if part is None:
+        return F.coalesce(F.is_variant_null(v), F.lit(False))
+    if isinstance(part, bool):
+        return F.coalesce(_is(v, "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == part), F.lit(False))
+    if isinstance(part, (int, float)):
+        # whole numbers of up to 38 digits exactly, others as doubles
+        whole = isinstance(part, int) and abs(part) < 10**38
+        same = F.try_variant_get(v, "$", "decimal(38,0)") == F.lit(str(part)).cast("decimal(38,0)") if whole else F.lit(True)
+        return F.coalesce(_is(v, "BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & (F.try_variant_get(v, "$", "double") == float(part)) & same, F.lit(False))
+    return F.coalesce(_is(v, "STRING") & (F.try_variant_get(v, "$", "string") == part), F.lit(False))
 
 
 def flat_contains(c: Column, part: dict) -> Column:
@@ -81,16 +100,8 @@ def flat_contains(c: Column, part: dict) -> Column:
 
 
 def contains(df: DataFrame, column: str, part) -> DataFrame:
-    """The rows whose document contains ``part``: scalars equal, arrays each element somewhere, objects each key, recursively."""
-    schema = df.schema
-    at = df.columns.index(column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mask = [d is not _BAD and _contains(d, part) for d in map(_loads, batch.column(at).to_pylist())]
-            yield batch.filter(pa.array(mask, pa.bool_()))
-
-    return df.mapInArrow(run, schema)
+    """The rows whose document contains ``part``: scalars equal, arrays each element somewhere, objects each key, recursively. By VARIANT expressions; text that isn't JSON, or is nested deeper than the parser takes, contains nothing."""
+    return df.filter(_contains(parse(F.col(column)), part))
 
 
 def _scalar_token(v) -> tuple[str, str]:
@@ -126,7 +137,7 @@ def tokens_of(doc) -> list[str]:
 
 
 def posting_lists(df: DataFrame, id_col: str, column: str) -> DataFrame:
-    """(token, doc_id), distinct: an inverted index of the documents; text that isn't JSON has no tokens."""
+    """(token, doc_id), distinct: an inverted index of the documents; text that isn't JSON, or is nested deeper than the parser takes, has no tokens. Tokens come from any depth, which no expression reaches, so documents go through Python in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

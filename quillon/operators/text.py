@@ -1,13 +1,18 @@
-"""BM25 ranking and its fusion with dense scores."""
+"""BM25 ranking over an inverted index, and its fusion with dense scores.
+
+The index is a table of postings, dealt to folders by the term's hash, and one of document lengths. A search reads the folders of its terms only.
+"""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.ranking import global_rank
+from quillon.sources.work import work_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,39 +62,65 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25_scores(docs: DataFrame, query: str, config: SearchConfig = SearchConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, bm25) of all documents, those without a query term with 0.
-
-    Two scans and no shuffle of documents: the first sums lengths and document frequencies of the query's terms, the second scores each row.
-    """
-    terms = query_terms(query)
-    # counted in the text itself: no array of tokens is made
-    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
-    counted = docs.select(F.col(id_col).alias("doc_id"), lowered.alias("lowered")).select(
-        "doc_id",
-        F.regexp_count("lowered", F.lit("[a-z0-9]+")).alias("len"),
-        *[F.regexp_count("lowered", F.lit(f"(?<![a-z0-9]){q}(?![a-z0-9])")).alias(f"tf{k}") for k, q in enumerate(terms)],
-    )
-    figures = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"), *[F.count(F.when(F.col(f"tf{k}") > 0, 1)).alias(f"df{k}") for k in range(len(terms))]).first()
-    n, avgdl = figures["n"], figures["avgdl"] or 1.0
-    score = F.lit(0.0)
-    for k in range(len(terms)):
-        df = figures[f"df{k}"]
-        idf = F.lit(float(_log1p((n - df + 0.5) / (df + 0.5))))
-        f = F.col(f"tf{k}")
-        score = score + idf * f * (config.k1 + 1) / (f + config.k1 * (1 - config.b + config.b * F.col("len") / avgdl))
-    return counted.select("doc_id", score.alias("bm25"))
-
+BUCKETS = 256
 
-def _log1p(x: float) -> float:
-    import math
 
-    return math.log(1 + x)
-
-
-def bm25_search(docs: DataFrame, query: str, k: int, config: SearchConfig = SearchConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The k best, ties by id; documents without a term count with score 0."""
-    return bm25_scores(docs, query, config, id_col, text_col).orderBy(F.col("bm25").desc(), "doc_id").limit(k)
+@dataclass(frozen=True)
+class Index:
+    """postings: (doc_id, term, tf, len), in folders by bucket of the term. lengths: (doc_id, len) of all documents. n and average: their number and mean length."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    n: int
+    average: float
+
+    @classmethod
+    def of(cls, docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> Index:
+        """Opens the index at the path, or builds it there. A folder holds a bucket's terms sorted, a common term's rows being spread over files by document."""
+        spark = docs.sparkSession
+        path = path or work_path(spark, "bm25")
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
+            rows = postings(docs, id_col, text_col).withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+            rows.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+            lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
+            docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(lowered, F.lit("[a-z0-9]+")).alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+            fs.create(p, True).close()
+        id_type = docs.schema[id_col].dataType.simpleString()
+        lengths = spark.read.schema(f"doc_id {id_type}, len int").parquet(f"{path}/lengths")
+        found = spark.read.schema(f"doc_id {id_type}, term string, tf long, len int, bucket int").parquet(f"{path}/postings")
+        n, average = lengths.agg(F.count(F.lit(1)), F.avg("len")).first()
+        return cls(found, lengths, n, average or 1.0)
+
+    def scores(self, query: str, config: SearchConfig = SearchConfig()) -> tuple[DataFrame, int]:
+        """(doc_id, bm25) of the documents with a term of the query, and the greatest number of them that one term has."""
+        terms = query_terms(query)
+        spark = self.postings.sparkSession
+        hashed = spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term")).select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))) if terms else None
+        wanted = sorted({r[0] for r in hashed.collect()}) if terms else []
+        own = self.postings.filter(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
+        df = {r["term"]: r["df"] for r in own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+        idf = F.lit(0.0)
+        for term, k in sorted(df.items()):
+            idf = F.when(F.col("term") == term, math.log(1 + (self.n - k + 0.5) / (k + 0.5))).otherwise(idf)
+        norm = F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("len") / self.average)
+        parts = own.select("doc_id", (idf * F.col("tf") * (config.k1 + 1) / norm).alias("part"))
+        return parts.groupBy("doc_id").agg(F.sum("part").alias("bm25")), max(df.values(), default=0)
+
+
+def bm25_scores(index: Index, query: str, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """(doc_id, bm25) of all documents, those without a query term with 0."""
+    scores, _ = index.scores(query, config)
+    scores = scores.withColumnRenamed("doc_id", "scored_")
+    return index.lengths.select("doc_id").join(scores, F.col("doc_id") == F.col("scored_"), "left").select("doc_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+
+
+def bm25_search(index: Index, query: str, k: int, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """The k best, ties by id; documents without a term count with score 0, and are looked at only if no term alone has k documents."""
+    scores, most = index.scores(query, config)
+    return (scores if most >= k else bm25_scores(index, query, config)).orderBy(F.col("bm25").desc(), "doc_id").limit(k)
 
 
 def fuse(bm25: DataFrame, dense: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
@@ -113,5 +144,5 @@ def fuse(bm25: DataFrame, dense: DataFrame, config: SearchConfig = SearchConfig(
     return ranked.select("doc_id", "bm25", "dense", score.alias("score"))
 
 
-def hybrid_search(docs: DataFrame, query: str, dense: DataFrame, k: int, config: SearchConfig = SearchConfig()) -> DataFrame:
-    return fuse(bm25_scores(docs, query, config), dense, config).orderBy(F.col("score").desc(), "doc_id").limit(k)
+def hybrid_search(index: Index, query: str, dense: DataFrame, k: int, config: SearchConfig = SearchConfig()) -> DataFrame:
+    return fuse(bm25_scores(index, query, config), dense, config).orderBy(F.col("score").desc(), "doc_id").limit(k)

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.sources.work import written
+
 QUERY_BLOCK = 4096
 SAMPLE_ROWS = 20_000
 #: Distances held at once by a task.
@@ -61,14 +63,36 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _distances(queries: np.ndarray, base: np.ndarray, metric: str) -> np.ndarray:
+def _exact(queries: np.ndarray, base: np.ndarray, at: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of each query to its rows ``at``, from the differences themselves."""
+    x = base[at]
+    if metric == "l2":
+        return np.sqrt(((x - queries[:, None, :]) ** 2).sum(2))
+    norm = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(x, axis=2)
+    return np.where(norm == 0, 1.0, 1 - np.clip(np.divide((x * queries[:, None, :]).sum(2), norm, out=np.zeros_like(norm), where=norm > 0), -1, 1))
+
+
+def _nearest_rows(queries: np.ndarray, base: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, distances) of each query, its k nearest among them: found by one product of matrices, then measured exactly. More than k where rounding or ties leave it open which they are."""
     if queries.shape[1] != base.shape[1]:
         raise ValueError("dimensions differ")
+    if len(base) <= k:
+        at = np.broadcast_to(np.arange(len(base)), (len(queries), len(base)))
+        return at, _exact(queries, base, at, metric)
+    q2, b2 = (queries**2).sum(1)[:, None], (base**2).sum(1)[None, :]
     if metric == "l2":
-        return np.stack([np.sqrt(((base - q) ** 2).sum(1)) for q in queries]) if len(queries) else np.zeros((0, len(base)))
-    nq, nb = np.linalg.norm(queries, axis=1)[:, None], np.linalg.norm(base, axis=1)[None, :]
-    norm = nq * nb
-    return np.where(norm == 0, 1.0, 1 - np.clip(np.divide(queries @ base.T, norm, out=np.zeros_like(norm), where=norm > 0), -1, 1))
+        near = q2 + b2 - 2 * queries @ base.T
+        slack = 1e-9 * (q2 + b2.max())
+    else:
+        norm = np.sqrt(q2 * b2)
+        near = np.where(norm == 0, 1.0, 1 - np.divide(queries @ base.T, norm, out=np.zeros_like(norm), where=norm > 0))
+        slack = np.full((len(queries), 1), 1e-9)
+    least = np.partition(near, k - 1, axis=1)[:, k - 1 : k] + slack
+    width = int((near <= least).sum(1).max())
+    at = np.argpartition(near, width - 1, axis=1)[:, :width] if width < len(base) else np.broadcast_to(np.arange(len(base)), near.shape)
+    step = max(1, CELLS // max(1, width * base.shape[1]))
+    parts = [_exact(queries[a : a + step], base, at[a : a + step], metric) for a in range(0, len(queries), step)]
+    return at, np.concatenate(parts)
 
 
 def best_k(found: DataFrame, k: int) -> DataFrame:
@@ -96,9 +120,9 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col:
                     continue
                 x, rid, step = _matrix(batch.column("v")), batch.column("id").to_numpy(), max(k, CELLS // len(ids))
                 for a in range(0, len(x), step):
-                    d = _distances(q, x[a : a + step], metric)
+                    near, d = _nearest_rows(q, x[a : a + step], k, metric)
                     best_d = np.concatenate([best_d, d], 1)
-                    best_i = np.concatenate([best_i, np.broadcast_to(rid[a : a + step], d.shape)], 1)
+                    best_i = np.concatenate([best_i, rid[a : a + step][near]], 1)
                     order = np.lexsort((best_i, best_d), axis=1)[:, :k]
                     best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
             if best_d.shape[1]:
@@ -123,6 +147,19 @@ def prefer_inverted_lists(n: int) -> bool:
     return n >= 50_000
 
 
+def search(base: DataFrame, queries: DataFrame, k: int, where: Column | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, id, distance, rank): exact search of small tables, inverted lists for large ones. A filter runs first, so there are k hits whenever k rows match; it widens what is measured exactly as few rows pass."""
+    total = base.count()
+    rows = base if where is None else base.filter(where)
+    n = total if where is None else rows.count()
+    if not prefer_inverted_lists(n):
+        return knn(rows, queries, k, id_col=id_col, vec_col=vec_col)
+    width = auto_ef(n, k) if where is None else max(auto_ef(n, k), autotune_ef(n, k, n / max(total, 1)))
+    lists = InvertedLists.fit(rows, id_col=id_col, vec_col=vec_col)
+    index = written(lists.index(rows, id_col, vec_col).repartition("cell"), "inverted-lists")
+    return lists.search(index, queries, k, n_probe=lists.half(), rerank=max(200, width), id_col=id_col, vec_col=vec_col)
+
+
 # --- scalar quantisation ---------------------------------------------------------------------------------------------
 
 
@@ -231,6 +268,10 @@ class InvertedLists:
         centres = k_means(x, n)
         return cls(centres, ProductQuantizer.fit(x - centres[_nearest_centre(x, centres)], m))
 
+    def half(self) -> int:
+        """The number of cells to probe for a recall of over 0.9 on vectors without clusters."""
+        return max(1, -(-len(self.centres) // 2))
+
     def index(self, base: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
         """(id, cell, code, v). Written with partitionBy("cell"), a search reads the probed cells only."""
         shared = base.sparkSession.sparkContext.broadcast(self)
@@ -248,7 +289,7 @@ class InvertedLists:
         rows = base.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("v IS NOT NULL")
         return rows.mapInArrow(assign, "id long, cell int, code binary, v array<float>")
 
-    def search(self, index: DataFrame, queries: DataFrame, k: int, n_probe: int | None = None, rerank: int = 200, id_col: str = "vec_id", vec_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    def search(self, index: DataFrame, queries: DataFrame, k: int, n_probe: int | None = None, rerank: int = 200, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 1024) -> DataFrame:
         """(query_id, id, distance, rank): the ``rerank`` best by quantised distance in the n_probe nearest cells, ranked by exact distance."""
         spark = index.sparkSession
         n_probe = n_probe or max(1, math.ceil(len(self.centres) / 8))
@@ -268,19 +309,22 @@ class InvertedLists:
                 best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
                 for batch in batches:
                     cell = batch.column("cell").to_numpy()
-                    x, rid = _matrix(batch.column("v")), batch.column("id").to_numpy()
+                    if not len(cell):
+                        continue
+                    x, rid = _matrix(batch.column("v")).astype(np.float32), batch.column("id").to_numpy()
                     code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(batch), -1)
                     for c in np.unique(cell):
                         at = np.flatnonzero(cell == c)
                         for k_ in asks.get(c, ()):
                             coarse = me.quantizer.distances(code[at], me.quantizer.tables(q[k_] - me.centres[c]))
-                            exact = np.sqrt(((x[at] - q[k_]) ** 2).sum(1))
-                            have = best.get(k_, (np.zeros(0), np.zeros(0, np.int64), np.zeros(0)))
-                            d, i, e = (np.concatenate(p) for p in zip(have, (coarse, rid[at], exact), strict=True))
+                            have = best.get(k_, (np.zeros(0), np.zeros(0, np.int64), x[:0]))
+                            d, i, v = (np.concatenate(p) for p in zip(have, (coarse, rid[at], x[at]), strict=True))
                             keep = np.lexsort((i, d))[:rerank]
-                            best[k_] = (d[keep], i[keep], e[keep])
-                for k_, (d, i, e) in best.items():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), ids[k_])), pa.array(i), pa.array(d), pa.array(e)], ["query_id", "id", "coarse", "distance"])
+                            best[k_] = (d[keep], i[keep], v[keep])
+                # what the codes say is best is measured exactly, and nothing else
+                for k_, (d, i, v) in best.items():
+                    exact = np.sqrt(((v.astype(np.float64) - q[k_]) ** 2).sum(1))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), ids[k_])), pa.array(i), pa.array(d), pa.array(exact)], ["query_id", "id", "coarse", "distance"])
 
             found = index.filter(F.col("cell").isin(cells)).mapInArrow(probe, "query_id long, id long, coarse double, distance double")
             out = found if out is None else out.union(found)

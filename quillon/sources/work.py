@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def work_path(spark: SparkSession, name: str) -> str:
+def _root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         master = spark.sparkContext.master
@@ -16,7 +17,23 @@ def work_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints/quillon")
         root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path."""
+    return f"{_root(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+
+
+def kept_path(spark: SparkSession, name: str, df: DataFrame) -> str:
+    """A path for something derived from all of a table's files: the same while these are the same, by name, size and time."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for file in sorted(df.inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(file)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        seen.append((file, status.getLen(), status.getModificationTime()))
+    return f"{_root(spark)}/quillon/{name}-{hashlib.sha256(repr(seen).encode()).hexdigest()[:32]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

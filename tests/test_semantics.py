@@ -110,13 +110,13 @@ def test_json(spark):
 def test_text(spark):
     docs = spark.createDataFrame([(1, "Vector database, vector!"), (2, None), (3, ""), (4, "Iechä Vector"), (5, "other words")], "doc_id long, text string")
     assert docs.select(text.tokenize(F.lit("Iechä-X9 é")).alias("t")).first().t == ["iech", "x9"]
-    found = text.bm25_search(docs, "vector Vector search", 10).collect()
+    found = text.bm25_search(text.Index.of(docs), "vector Vector search", 10).collect()
     assert [r.doc_id for r in found][:2] == [1, 4] and [r.doc_id for r in found][2:] == [2, 3, 5] and found[2].bm25 == 0
-    assert text.bm25_scores(docs, "", text.SearchConfig()).agg(F.sum("bm25")).first()[0] == 0
+    assert text.bm25_scores(text.Index.of(docs), "", text.SearchConfig()).agg(F.sum("bm25")).first()[0] == 0
     dense = spark.createDataFrame([(5, 0.9), (1, 0.1)], "doc_id long, dense double")
-    rrf = {r.doc_id: r.score for r in text.hybrid_search(docs, "vector", dense, 10, text.SearchConfig(mode="rrf")).collect()}
+    rrf = {r.doc_id: r.score for r in text.hybrid_search(text.Index.of(docs), "vector", dense, 10, text.SearchConfig(mode="rrf")).collect()}
     assert abs(rrf[1] - (0.5 / 61 + 0.5 / 62)) < 1e-12 and abs(rrf[4] - 0.5 / 62) < 1e-12 and abs(rrf[5] - (0.5 / 65 + 0.5 / 61)) < 1e-12
-    weighted = {r.doc_id: r for r in text.hybrid_search(docs, "nothing", dense, 10).collect()}
+    weighted = {r.doc_id: r for r in text.hybrid_search(text.Index.of(docs), "nothing", dense, 10).collect()}
     assert weighted[5].score == 0.5 and weighted[2].dense == 0.1 and weighted[2].score == 0
     assert text.fnv1a64("a") == 0xAF63DC4C8601EC8C
 
@@ -166,3 +166,73 @@ def test_global_rank(spark):
     df = spark.range(1000).select("id", (F.col("id") * 7919 % 1000).alias("x")).repartition(7)
     got = global_rank(df, "rank", F.col("x").desc(), F.col("id").asc()).collect()
     assert all(r["rank"] == 1000 - r.x for r in got)
+
+
+def test_deep_json(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    df = spark.createDataFrame([(1, deep), (2, '{"a": [[1e2]]}'), (3, '{"it\'s": 12345678901234567890123}')], "id long, doc string")
+    assert [r.id for r in json_docs.contains(df, "doc", {"a": [[100]]}).collect()] == [2]
+    assert [r.id for r in json_docs.contains(df, "doc", {"it's": 12345678901234567890123}).collect()] == [3]
+    assert json_docs.contains(df, "doc", {"it's": 12345678901234567890124}).count() == 0
+    assert {r.doc_id for r in json_docs.posting_lists(df, "id", "doc").collect()} == {2, 3}
+
+
+def test_text_index(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"common word{i % 7} rare{i}") for i in range(300)], "doc_id long, text string")
+    index = text.Index.of(docs, f"file://{tmp_path}/index")
+    again = text.Index.of(docs.limit(0), f"file://{tmp_path}/index")  # opened, not built
+    assert (again.n, again.average) == (300, 3.0) == (index.n, index.average)
+    scores, most = index.scores("rare5 word3")
+    assert most == 43 and scores.count() == 44
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan and "PushedFilters: [In(term" in plan
+    assert [r.doc_id for r in text.bm25_search(index, "rare299 nothing", 3).collect()] == [299, 0, 1]
+
+
+def test_product_quantizer():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16))
+    pq = vector.ProductQuantizer.fit(x, 8)
+    codes = pq.encode(x)
+    assert codes.shape == (3000, 8) and codes.dtype == np.uint8
+    near = pq.decode(codes)
+    assert ((x - near) ** 2).sum() < 0.1 * (x**2).sum()
+    # no other centre of a slice is nearer, and distances by tables are those to the decoded vectors
+    for k, (part, book) in enumerate(zip(np.split(x, 8, axis=1), pq.codebooks, strict=True)):
+        own = ((part - book[codes[:, k]]) ** 2).sum(1)
+        assert (own[:, None] <= ((part[:, None, :] - book[None]) ** 2).sum(2) + 1e-9).all()
+    q = rng.normal(size=16)
+    assert np.allclose(pq.distances(codes, pq.tables(q)), ((near - q) ** 2).sum(1))
+
+
+def test_search_picks_its_way(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 8)).astype(np.float32)
+    base = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>")
+    queries = base.filter("vec_id % 100 = 0")
+    exact = {(r.query_id, r.id) for r in vector.search(base, queries, 5, F.col("label") == 1).collect()}
+    d = ((x[:, None, :] - x[None, ::100]) ** 2).sum(2)
+    d[np.arange(1500) % 3 != 1] = np.inf
+    assert exact == {(100 * k, int(i)) for k in range(15) for i in np.argsort(d[:, k], kind="stable")[:5]}
+    monkeypatch.setattr(vector, "prefer_inverted_lists", lambda n: True)
+    found = {(r.query_id, r.id) for r in vector.search(base, queries, 5, F.col("label") == 1).collect()}
+    assert len(found) == len(exact) and len(found & exact) / len(exact) >= 0.9
+
+
+def test_gaps_and_intervals(spark):
+    rows = spark.createDataFrame([(-30, 1.0, "a"), (5, 2.0, "a"), (25, 4.0, "a"), (100, 1.0, "b")], "ts_ms long, value double, k string")
+    full = timeseries.gap_fill(timeseries.bucket_aggregate(rows, 10, "k"), 10, "k", fill="last").collect()
+    assert sorted((r.k, r.bucket_start, r.total, r.n, r.average) for r in full) == [("a", -30, 1.0, 1, 1.0), ("a", -20, 0.0, 0, 1.0), ("a", -10, 0.0, 0, 1.0), ("a", 0, 2.0, 1, 2.0), ("a", 10, 0.0, 0, 2.0), ("a", 20, 4.0, 1, 4.0), ("b", 100, 1.0, 1, 1.0)]
+    assert timeseries.gap_fill(timeseries.bucket_aggregate(rows.limit(0), 10), 10).count() == 0
+    spans = spark.createDataFrame([(1, -40, 6), (2, 5, 5), (3, 5, 26), (4, 0, 1000)], "id int, low long, high long")
+    got = timeseries.interval_join(rows, spans, 10).collect()
+    assert sorted((r.id, r.ts_ms) for r in got) == [(1, -30), (1, 5), (3, 5), (3, 25), (4, 5), (4, 25), (4, 100)]
+
+
+def test_retention_deletes_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(t, float(t)) for t in range(-20, 100, 5)], "ts_ms long, value double")
+    path = f"file://{tmp_path}/hypertable"
+    timeseries.write_hypertable(rows, path, 10)
+    assert timeseries.drop_chunks(spark, path, 35, 10) == 5
+    assert sorted(p.name for p in (tmp_path / "hypertable").glob("chunk_start=*")) == [f"chunk_start={k}" for k in range(30, 100, 10)]
+    assert spark.read.parquet(path).agg(F.min("ts_ms")).first()[0] == 30 and timeseries.drop_chunks(spark, path, 35, 10) == 0
