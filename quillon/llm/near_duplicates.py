@@ -78,8 +78,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
                 items, signature = _binary(values, np.append(starts, len(values))), _binary(signatures.reshape(-1), np.arange(len(at) + 1) * n_hashes)
                 yield pa.RecordBatch.from_arrays([*kept.columns, signature, items], [*names, "signature", "items"])
 
-    # the same text in many rows is taken once by each task
-    chosen = texts.select("digest", "text").join(wanted.withColumnRenamed("digest", "digest_"), F.col("digest") == F.col("digest_")).select("root", "blocks", "key", "copies", "text")
+    # the same text in many rows is taken once by each task; the join is the same at every size
+    chosen = texts.select("digest", "text").join(wanted.withColumnRenamed("digest", "digest_").hint("merge"), F.col("digest") == F.col("digest_")).select("root", "blocks", "key", "copies", "text")
     members = common.map_arrow(chosen, gather, "root long, blocks int, key long, copies long, signature binary, items binary")
     found = common.written(N.verify(members, threshold), "near-links")
     linked = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()).select(F.col("id").alias("key"), "root")

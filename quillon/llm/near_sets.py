@@ -25,6 +25,9 @@ STEP = 15
 TOLERANCE = 1e-6
 BLOCK_SETS = 512
 BLOCK_BYTES = 8 << 20
+#: Groups of so many sets at most are compared together, so many pairs at a time.
+SMALL = 32
+PAIRS = 1 << 17
 
 
 def tune(threshold: float, recall: float, rows: int) -> int:
@@ -138,8 +141,15 @@ def _counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount(place, n, len(found)).astype(np.int64)
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in column])
+def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Binary values of equal length as the rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column, n = column.cast(pa.large_binary()), len(column)
+    if not n:
+        return np.zeros((0, 0), np.uint32)
+    cuts = np.frombuffer(column.buffers()[1], np.int64, n + 1, column.offset * 8)
+    return np.frombuffer(column.buffers()[2], np.uint8, int(cuts[-1] - cuts[0]), int(cuts[0])).copy().view(np.uint32).reshape(n, -1)
 
 
 def _by_group(ids: tuple[str, ...], compare):
@@ -167,6 +177,31 @@ def _by_group(ids: tuple[str, ...], compare):
     return run
 
 
+def _by_groups(ids: tuple[str, ...], compare):
+    """Likewise, but compare gets tables of many whole groups, and gives batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ids], 1)
+            cut = int(np.flatnonzero((own != own[-1]).any(1)).max(initial=-1)) + 1
+            if cut:
+                yield from compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif held and last != tuple(own[-1]):
+                yield from compare(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(cut))
+            last = tuple(own[-1])
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    return run
+
+
 def _block_pairs(rows: DataFrame, group: str, key: str, *columns: str) -> DataFrame:
     """Rows (group, blocks, key, columns) dealt to pairs of blocks (i, j), sorted: a row goes to each pair with its own block."""
     block = F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
@@ -208,23 +243,45 @@ def candidate_groups(classes: DataFrame, threshold: float, bands: int, rows: int
     found = packed.look_up(signed, members, (np.int64, np.int64, np.int16), ["bucket", "id", "band"], buckets, (np.int64,), "bucket long, id long, band short, blocks long")
     found = common.written(found, "near-candidates").join(classes.select(F.col("key").alias("id_"), "size", "signature"), F.col("id") == F.col("id_"))
 
-    def compare(t: pa.Table) -> pa.RecordBatch | None:
-        first, block, i, j = _places(t, "id")
-        if len(first) < 2:
-            return None
-        key, size, sig = t.column("id").to_numpy()[first], t.column("size").to_numpy()[first], _signatures(t.column("signature").take(pa.array(first)))
-        earlier = band_hashes(sig, t.column("band")[0].as_py(), rows)
-        a, b = (np.arange(len(key)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
-        if not len(a) or not len(b):
-            return None
-        p, q = pruned_pairs(sig[a], size[a], sig[b], size[b], threshold, i == j, [(x[a], x[b]) for x in earlier.T])
-        if not len(p):
-            return None
-        node, root = forest(key[a[p]], key[b[q]])
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, i, j, block, band, key, size = (t.column(c).to_numpy() for c in ("bucket", "i", "j", "block", "band", "id", "size"))
+        sig = _signatures(t.column("signature"))
+        hashes = band_hashes(sig, bands, rows)
+        new = np.append(True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        start = np.flatnonzero(new)
+        count = np.diff(np.append(start, len(key)))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # many small groups at once, large ones one by one
+        for n in np.unique(count[(count > 1) & (count <= SMALL)]):
+            x, y = np.triu_indices(n, 1)
+            s = start[count == n]
+            step = max(1, PAIRS // len(x))
+            for k in range(0, len(s), step):
+                p, q = (np.add.outer(s[k : k + step], z).reshape(-1) for z in (x, y))
+                ok = ((i[p] == j[p]) | (block[p] != block[q])) & _sizes_fit(size[p], size[q], threshold)
+                p, q = p[ok], q[ok]
+                ok = (hashes[p] == hashes[q]).argmax(1) == band[p]  # pairs that share several buckets are compared in the first
+                p, q = p[ok], q[ok]
+                e = np.zeros(len(p), np.int64)
+                for at in range(0, sig.shape[1], STEP):
+                    e += (sig[p, at : at + STEP] == sig[q, at : at + STEP]).sum(1)
+                    ok = e >= least_matches(min(at + STEP, sig.shape[1]), threshold, TOLERANCE)
+                    p, q, e = p[ok], q[ok], e[ok]
+                a.append(p)
+                b.append(q)
+        for s, n in zip(start[count > SMALL], count[count > SMALL], strict=True):
+            own = slice(s, s + n)
+            x, y = (np.arange(s, s + n),) * 2 if i[s] == j[s] else (s + np.flatnonzero(block[own] == i[s]), s + np.flatnonzero(block[own] == j[s]))
+            p, q = pruned_pairs(sig[x], size[x], sig[y], size[y], threshold, i[s] == j[s], [(h[x], h[y]) for h in hashes.T[: band[s]]])
+            a.append(x[p])
+            b.append(y[q])
+        p, q = np.concatenate(a), np.concatenate(b)
+        if len(p):
+            node, root = forest(key[p], key[q])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
     pairs = _block_pairs(found, "bucket", "id", "band", "size", "signature")
-    return components(common.map_arrow(pairs, _by_group(("bucket", "i", "j"), compare), "a long, b long"))
+    return components(common.map_arrow(pairs, _by_groups(("bucket", "i", "j"), compare), "a long, b long"))
 
 
 def with_blocks(groups: DataFrame, size: str) -> DataFrame:

@@ -47,9 +47,10 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_near_duplicates(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "small"), [(512, 32), (7, 32), (7, 3)])
+def test_near_duplicates(spark, monkeypatch, block, small):
     monkeypatch.setattr(near_sets, "BLOCK_SETS", block)
+    monkeypatch.setattr(near_sets, "SMALL", small)
     rng = random.Random(12)
     base = prose(rng, 14)
     rows = [(i, t) for i, t, _, _ in odd_rows()]
