@@ -5,7 +5,8 @@ of the asked similarity holds, whatever its edits. Seeds are counted over all do
 Where a document holds that many close to one diagonal, the words around them are aligned with the whole item: match 1, mismatch and gap -0.5, local. The score divided by the item's length is the
 similarity; a copy with a quarter of its words changed still scores above 0.6. So what is found is what aligning every document with every item would find.
 
-The seeds of up to BLOCK_ITEMS items are broadcast (bounded by the items' words); larger benchmarks are taken in blocks of items, each against all documents. Nothing is shuffled but the seeds' counts.
+Items are broadcast in blocks, bounded by their number and bytes; PASS_BLOCKS blocks share one pass over the documents for the counts and one for the alignment, larger benchmarks take more passes. Nothing
+is shuffled but the seeds' counts.
 
 Items of fewer than LEAST_WORDS words would match every text that uses these words; they are left out, and ``left_out`` lists them.
 
@@ -28,6 +29,8 @@ SEED_WORDS = 2
 FEW_SEEDS = 4
 SIMILARITY = 0.6
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 16 << 20
+PASS_BLOCKS = 4
 MISMATCH = GAP = 0.5
 LEAST_WORDS = 5
 
@@ -110,18 +113,21 @@ def align(items: np.ndarray, lengths: np.ndarray, windows: np.ndarray, spans: np
     return best
 
 
-def _seed_counts(docs: DataFrame, shared) -> DataFrame:
+def _seed_counts(docs: DataFrame, shared: list) -> DataFrame:
+    """(block, seed, n) of all blocks' seeds that occur, in one pass."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        distinct = np.unique(items.seeds)
-        total = np.zeros(len(distinct), np.int64)
+        own = [(s.value, np.unique(s.value.seeds)) for s in shared]
+        totals = [np.zeros(len(distinct), np.int64) for _, distinct in own]
         for batch in batches:
             for block in blocks(batch.column("text"), lower=True):
-                total += np.bincount(np.searchsorted(distinct, items.hits(block)[1]), minlength=len(distinct))[: len(distinct)]
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(distinct[seen].view(np.int64)), pa.array(total[seen])], ["seed", "n"])
+                for (items, distinct), total in zip(own, totals, strict=True):
+                    total += np.bincount(np.searchsorted(distinct, items.hits(block)[1]), minlength=len(distinct))[: len(distinct)]
+        for k, ((_, distinct), total) in enumerate(zip(own, totals, strict=True)):
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), k, np.int32)), pa.array(distinct[seen].view(np.int64)), pa.array(total[seen])], ["block", "seed", "n"])
 
-    return common.map_arrow(docs.select("text"), count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    return common.map_arrow(docs.select("text"), count, "block int, seed long, n long").groupBy("block", "seed").agg(F.sum("n").alias("n"))
 
 
 def _candidates(items: Items, block) -> Iterator[tuple[int, int, int, int]]:
@@ -191,16 +197,24 @@ def left_out(benchmark: DataFrame, item_text: str = "text") -> DataFrame:
 
 
 def _item_blocks(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, block_items: int, similarity: float) -> list:
-    """Broadcast blocks of items with their rare seeds; docs: one column ``text``."""
+    """For each pass, its broadcast blocks of items with their rare seeds; docs: one column ``text``."""
     spark = docs.sparkSession
     wanted = benchmark.select(benchmark[f"`{item_id}`"].cast("long").alias("item"), benchmark[f"`{item_text}`"].alias("text")).filter(~_too_short(F.col("text")))
-    n, out = -(-wanted.count() // block_items), []
-    for k in range(n):
-        own = wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toArrow().sort_by([("item", "ascending"), ("text", "ascending")])
-        items = Items(own.column("item").to_pylist(), own.column("text"), similarity)
-        counted = _seed_counts(docs, spark.sparkContext.broadcast(items)).toArrow()
-        items.keep_rare(dict(zip(counted.column("seed").to_pylist(), counted.column("n").to_pylist(), strict=True)))
-        out.append(spark.sparkContext.broadcast(items))
+    items, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n, out = max(-(-items // block_items), -(-size // BLOCK_BYTES)), []
+    for first in range(0, n, PASS_BLOCKS):
+        blocks_ = []
+        for k in range(first, min(first + PASS_BLOCKS, n)):
+            own = wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toArrow().sort_by([("item", "ascending"), ("text", "ascending")])
+            blocks_.append(Items(own.column("item").to_pylist(), own.column("text"), similarity))
+        shared = [spark.sparkContext.broadcast(x) for x in blocks_]
+        counted = _seed_counts(docs, shared).toArrow().to_pydict()
+        counts: list[dict[int, int]] = [{} for _ in blocks_]
+        for b, seed, many in zip(counted["block"], counted["seed"], counted["n"], strict=True):
+            counts[b][seed] = many
+        for x, c in zip(blocks_, counts, strict=True):
+            x.keep_rare(c)
+        out.append([spark.sparkContext.broadcast(x) for x in blocks_])
     return out
 
 
@@ -213,12 +227,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     for k, shared in enumerate(_item_blocks(texts.select("text"), benchmark, item_id, item_text, block_items, similarity)):
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
             for batch in batches:
-                if best := _hits(items, batch.column("text"), similarity):
-                    at = pa.array([t for t, _ in best])
-                    columns = [pa.array([items.ids[i] for _, i in best], pa.int64()), pa.array([s for s, _ in best.values()]), pa.array([n for _, n in best.values()], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(at), *columns], names)
+                for block in shared:
+                    items = block.value
+                    if best := _hits(items, batch.column("text"), similarity):
+                        at = pa.array([t for t, _ in best])
+                        columns = [pa.array([items.ids[i] for _, i in best], pa.int64()), pa.array([s for s, _ in best.values()]), pa.array([n for _, n in best.values()], pa.int64())]
+                        yield pa.RecordBatch.from_arrays([batch.column("id").take(at), *columns], names)
 
         found = common.map_arrow(texts, search, ddl)
         out = out.union(found) if k else found
@@ -232,7 +247,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
         def keeps(texts: pa.Array, shared=shared) -> np.ndarray:
             mask = np.ones(len(texts), bool)
-            mask[[t for t, _ in _hits(shared.value, texts, similarity)]] = False
+            for block in shared:
+                mask[[t for t, _ in _hits(block.value, texts, similarity)]] = False
             return mask
 
         out = common.filter_rows(out, keeps)

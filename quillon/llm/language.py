@@ -1,7 +1,7 @@
 """Language identification with error-correcting output codes.
 
-Each learned language has a codeword. For every bit a binary classifier over hashed byte n-grams (lengths 1 to 4 of the lower-cased text, with
-everything but letters read as a blank) tells the languages whose bit is 1 from the others: a log-likelihood ratio of the two groups' n-gram shares, in which each language
+Each learned language has a codeword. For every bit a binary classifier over hashed byte n-grams (lengths 1 to 4, in words and the blank after them; A-Z lower-cased, every
+other ASCII byte but a-z read as a blank, bytes from 128 up kept as they are) tells the languages whose bit is 1 from the others: a log-likelihood ratio of the two groups' n-gram shares, in which each language
 counts alike however many documents it has. A text's decision value for a bit is its mean ratio per n-gram, scaled by the bit's spread. Loss-weighted decoding adds
 up, for each codeword, the logistic loss of its bits, weighted by how well the bit separates the training languages; the least sum wins. If the runner-up is close, the result is flagged as ambiguous.
 

@@ -9,7 +9,7 @@ are range-sorted by position.
 
 Within a source, documents stand in the order of a hash of id and text size. Prefix sums are two-level: small buckets of that order are summed by
 (source, bucket), the buckets' totals are accumulated, and each bucket is accumulated by itself, so a source with a third of all rows is spread
-over many tasks. All documents are taken whole ``floor(target / size)`` times; the remainder takes documents in order once more, the last in part.
+over many tasks. ``mix`` gives each document the position of its first copy; ``training_order`` lists every copy at its own. All documents are taken whole ``floor(target / size)`` times; the remainder takes documents in order once more, the last in part.
 
 Defined results: null text has size 0; null is a source of its own, last in order; a source without words has target 0 and takes 0; repeated rows count each;
 an empty table gives no rows; other columns are ignored. Reruns agree.
@@ -131,5 +131,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.repartitionByRange(common.shuffle_partitions(spark), "position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
-QUERIES = {"op9_mixing": op9_mixing}
-ORACLE_SQL: dict[str, str] = {}
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: its size and documents, target and taken words."""
+    by = mix(common.table(spark, sf_dir, "documents")).groupBy("source", "source_size", F.round("target", 3).alias("target"))
+    return by.agg(F.count(F.lit(1)).alias("documents"), F.sum("taken").alias("taken"))
+
+
+QUERIES = {"op9_mixing": op9_mixing, "mixing_targets": mixing_targets}
+# a source's taken words are its target to the nearest word
+ORACLE_SQL = {
+    "mixing_targets": """WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS documents, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total, coalesce(sum(3.0 * source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM s),
+l AS (SELECT *, (total - full_before) / open_weight AS share FROM o), m AS (SELECT arg_max(share, open_weight) AS level FROM l WHERE share * w <= 3.0 * source_size),
+t AS (SELECT source, source_size, documents, least(3.0 * source_size, coalesce(level * w, 3.0 * source_size)) AS target FROM l, m)
+SELECT source, source_size, round(CAST(target AS DOUBLE), 3) AS target, documents, CAST(CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) * source_size + round(target - floor(target / source_size) * source_size) END AS BIGINT) AS taken FROM t"""
+}

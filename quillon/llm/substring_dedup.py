@@ -377,7 +377,7 @@ def remove(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_co
     """The documents without their removed passages; a text that is nothing but such passages goes. All columns are kept in place. Passages belong to rows by id and text, so no other row of the id is cut."""
     spans = passages.filter("removed").groupBy(F.col("row_id").alias("row__")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans__"))
     spans = common.written(spans, "passage-spans")
-    joined = docs.join(spans, common.row_id(docs, id_col, text_col) == F.col("row__"), "left")
+    joined = docs.join(spans.hint("merge"), common.row_id(docs, id_col, text_col) == F.col("row__"), "left")
     text = docs[f"`{text_col}`"]
     cut = F.aggregate(
         "spans__",

@@ -191,8 +191,9 @@ def judge(urls: DataFrame, rules: Sequence[Rule], labelled: DataFrame | None = N
     fraction = min(1.0, max_labelled / n) if n else 1.0
     sample = known.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_003)) <= int(fraction * 1_000_003))
     model = train(suffix_rates(sample, known, prior).select("y", *FEATURES))
-    # a labelled page's own label plays no part when the model scores it
-    scored = suffix_rates(lexical(rows).withColumn("y", F.lit(None).cast("double")), known, prior)
+    # where the rules give the labels, a page's own label is taken out of its suffixes' rates when the model scores it
+    own = (F.col("ruled") == "block").cast("double") if labelled is None else F.lit(None).cast("double")
+    scored = suffix_rates(lexical(rows).withColumn("y", own), known, prior)
     probability = 1 / (1 + F.exp(-model.margin()))
     scored = scored.withColumn("score", probability)
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")

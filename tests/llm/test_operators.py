@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import common, language, mixing, ngram_lm, quality, token_counts, url_filter
 from quillon.llm.registry import ORACLE_SQL, QUERIES
-from tests.llm.helpers import WORD, documents, odd_rows, prose, write_tables
+from tests.llm.helpers import WORD, documents, odd_rows, prose, words, write_tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -275,3 +275,151 @@ def test_curriculum_follows_its_schedule(spark, monkeypatch):
     late = {s: sum(r.position > 0.5 for r in order if r.source == s) / sum(r.source == s for r in order) for s in "abc"}
     # the integrals of the three schedules over the second half
     assert abs(late["a"] - 0.5) < 0.02 and abs(late["b"] - 0.7) < 0.02 and abs(late["c"] - 0.285) < 0.03
+
+
+def test_mixing_by_brute_force(spark, monkeypatch):
+    """Each row's taken words and position: prefix sums in the order of the hash, and the schedule's integral inverted by bisection."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rng = random.Random(13)
+    rows = [(i, "w " * rng.randint(0, 60), None, rng.choice(["a", "b", "c", "d", None])) for i in range(300)] + [(5, "w w", None, "a"), (None, "w " * 9, None, "b"), (400, None, None, "e")]
+    df = documents(spark, rows)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.size), r.taken, r.position) for r in mixing.mix(df).collect())
+    hashed = [(r.id, r.source, r.size, r.h) for r in df.select(F.col("doc_id").alias("id"), "source", mixing.n_words(F.col("text")).alias("size")).withColumn("h", F.xxhash64("id", "size")).collect()]
+    sources = sorted({s for _, s, _, _ in hashed}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n for _, s, n, _ in hashed if s == x) for x in sources]
+    want = []
+    for rank, (source, size, target) in enumerate(zip(sources, sizes, water_fill(sizes, [k % 3 + 1 for k in range(len(sources))]), strict=True)):
+        knots = mixing.SCHEDULES[rank % 3]
+
+        def integral(t, knots=knots):
+            area = 0.0
+            for (a, v), (b, w) in zip(knots, knots[1:], strict=False):
+                x = min(max(t, a), b)
+                area += (x - a) * (v + (v + (w - v) * (x - a) / (b - a))) / 2
+            return area
+
+        place = 0
+        for i, s, n, _ in sorted((x for x in hashed if x[1] == source), key=lambda x: (x[3], x[0] or 0, x[2])):
+            whole = int(target // size) if size else 0
+            taken = whole * n + min(max(round(target - whole * size) - place, 0), n)
+            low, high = 0.0, 1.0
+            for _ in range(60):
+                middle = (low + high) / 2
+                low, high = (middle, high) if size and integral(middle) < place / target * integral(1) else (low, middle)
+            want.append(((i is None, i or 0, n), taken, high if taken else None))
+            place += n
+    assert len(got) == len(want)
+    for g, w in zip(got, sorted(want, key=lambda x: x[0]), strict=True):
+        assert g[:2] == w[:2] and (g[2] is None) == (w[2] is None) and (g[2] is None or abs(g[2] - w[2]) < 1e-6)
+
+
+def test_language_decoding_by_brute_force(spark):
+    """Counting, bit weights and loss-weighted decoding again, in plain loops over n-grams."""
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 1, lang).replace(" ", ", ", 1) + (" É—Ü 12" if i % 3 else ""), lang, "s") for i, lang in enumerate(["en", "es", "fr"] * 12)]
+    docs = documents(spark, rows)
+    model = language.fit(docs)
+
+    def cells(text):
+        folded = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode())
+        out = []
+        for word in folded.split(b" "):
+            for at in range(len(word)):
+                code = word[at] + 1
+                for k in range(1, 5):
+                    if at + k > len(word) + 1:
+                        break
+                    if k > 1:
+                        code = (code * 0x01000193 % 2**32) ^ ((word + b" ")[at + k - 1] + (k << 9))
+                    h = code * 0x9E3779B1 % 2**32
+                    h ^= h >> 15
+                    out.append(max((h * 0x85EBCA77 % 2**32) >> 19, 1))
+        return out
+
+    languages = sorted({lang for _, _, lang, _ in rows})
+    counts = {x: Counter(c for _, t, lang, _ in rows if lang == x for c in cells(t)) for x in languages}
+    share = {x: [(counts[x][c] + 0.5) / (sum(counts[x].values()) + 0.5 * language.CELLS) for c in range(language.CELLS)] for x in languages}
+    bits = language.codewords(len(languages)).T.tolist()
+
+    def weight(bit, c):
+        group = lambda b: [share[x][c] for x, y in zip(languages, bit, strict=True) if y == b]
+        return 0.0 if c == 0 else math.log(sum(group(1)) / len(group(1))) - math.log(sum(group(0)) / len(group(0)))
+
+    weights = [[weight(bit, c) for c in range(language.CELLS)] for bit in bits]
+    means = [[sum(share[x][c] * w[c] for c in range(language.CELLS)) for x in languages] for w in weights]
+    centre, scale, votes = [], [], []
+    for bit, mean in zip(bits, means, strict=True):
+        low, high = ([m for m, b in zip(mean, bit, strict=True) if b == y] for y in (0, 1))
+        centre.append((max(low) + min(high)) / 2)
+        scale.append(max((sum(high) / len(high) - sum(low) / len(low)) / 2, 1e-6))
+        votes.append(max((min(high) - max(low)) / (2 * scale[-1]), 0.05))
+    votes = [v / sum(votes) * len(votes) for v in votes]
+    tests = [(900 + i, prose(rng, 1, lang)) for i, lang in enumerate(["en", "es", "fr"] * 4)] + [(950, "x"), (951, "the ción eau"), (952, "É")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(documents(spark, [(i, t, None, None) for i, t in tests]), model, F.col("doc_id")).collect()}
+    for i, text in tests:
+        own = cells(text)
+        loss = dict.fromkeys(languages, 0.0)
+        for bit, w, m, s, v in zip(bits, weights, centre, scale, votes, strict=True):
+            f = (sum(w[c] for c in own) / max(len(own), 1) - m) / s * math.sqrt(min(len(own), 400) / 400) * 4
+            for x, y in zip(languages, bit, strict=True):
+                loss[x] += v * math.log1p(math.exp(-f if y else f))
+        best = min(languages, key=loss.get)
+        assert got[i][0] == best and abs(got[i][1] - 1 / sum(math.exp(loss[best] - loss[x]) for x in languages)) < 1e-4
+
+
+def test_boosted_trees_by_brute_force(spark):
+    """Every split of every node tried by hand on all rows."""
+    rng = random.Random(15)
+    n = len(url_filter.FEATURES)
+    rows = [[float(rng.randint(0, 6)) for _ in range(n)] for _ in range(400)]
+    labels = [float((r[1] + r[3] > 6) != (rng.random() < 0.1)) for r in rows]
+    df = spark.createDataFrame([(y, *r) for y, r in zip(labels, rows, strict=True)], "y double, " + ", ".join(f"{f} double" for f in url_filter.FEATURES))
+    model = url_filter.train(df, n_trees=3, depth=2)
+    got = [r[0] for r in df.select(model.margin().alias("m"), F.monotonically_increasing_id().alias("k")).orderBy("k").collect()]
+    rate = min(max((sum(labels) + 0.5) / 401, 1e-3), 1 - 1e-3)
+    margin = [math.log(rate / (1 - rate))] * 400
+    for _ in range(3):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        g, h = [a - y for a, y in zip(p, labels, strict=True)], [a * (1 - a) for a in p]
+        leaves = [(list(range(400)), 0.0)]
+        for _ in range(2):
+            following = []
+            for own, value in leaves:
+                part = lambda ks: (sum(g[k] for k in ks), sum(h[k] for k in ks))
+                gain = lambda ks: part(ks)[0] ** 2 / (part(ks)[1] + 1)
+                best = (1e-3, None, None)
+                for f in range(n):
+                    for cut in range(6):
+                        low, high = [k for k in own if rows[k][f] <= cut], [k for k in own if rows[k][f] > cut]
+                        if low and high and gain(low) + gain(high) - gain(own) > best[0] + 1e-9:
+                            best = (gain(low) + gain(high) - gain(own), low, high)
+                following += [(own, value)] if best[1] is None else [(x, -0.4 * part(x)[0] / (part(x)[1] + 1)) for x in best[1:]]
+            leaves = following
+        for own, value in leaves:
+            for k in own:
+                margin[k] += value
+    assert all(abs(a - b) < 1e-6 for a, b in zip(got, margin, strict=True))
+
+
+def test_a_text_of_twenty_megabytes(spark):
+    """Read whole by the operators on texts, beside short ones."""
+    rng = random.Random(17)
+    some = [words(rng, 1) for _ in range(20_000)]
+    long = " ".join(rng.choices(some, k=3_000_000))
+    long = (long + " end" * 20)[: 20 << 20]
+    item = " ".join(rng.choices(some, k=40))
+    at = long.index(" ", len(long) // 2)
+    long = long[:at] + " " + item + long[at:]
+    near = long[: len(long) - 2000]
+    path = common.work_path(spark, "long-texts")
+    docs = documents(spark, [(1, long, "en", "s"), (2, near, "en", "s"), (3, prose(rng, 20), "en", "s"), (5, None, "en", "s")], extra=False)
+    write_tables(spark, path, docs, benchmark=spark.createDataFrame([(7, item)], "item_id long, text string"))
+    n = len(WORD.findall(long))
+    assert {r.doc_id: r.n_tokens for r in QUERIES["op2_lm_scoring"](spark, path).collect()}[1] == n + 1
+    assert {r.doc_id: r.n_bytes for r in QUERIES["op1_token_counts"](spark, path).collect()}[1] == len(long.encode())
+    assert {r.doc_id: r.lang_pred for r in QUERIES["op3_language_id"](spark, path).collect()}[1] in ("en", "und")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in QUERIES["op6_ngram_jaccard_join"](spark, path).collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 0), 5: (5, 0)}
+    found = {(r.doc_id, r.removed): r.n_words for r in QUERIES["op7_substring_dedup"](spark, path).collect()}
+    assert found[2, True] == len(WORD.findall(near)) and abs(found[1, False] - found[2, True]) <= 1
+    assert sorted(r.doc_id for r in QUERIES["op10_decontamination"](spark, path).collect()) == [1, 2]
+    assert {r.doc_id: r.size for r in QUERIES["op9_mixing"](spark, path).collect()}[1] == n
