@@ -2,8 +2,8 @@
 
 Counting is one job. Tasks turn texts into (context, word) pairs, add up equal ones, and send them packed by shard. A shard's task merges them, writes its
 sorted pair hashes and counts to the shared folder, and sends on what it knows of each word (as a context: total and how many followers occur once, twice, more often; as a word: count and number of distinct
-contexts), again packed. A word shard's task adds these up and writes its sorted word hashes and figures. A context's pairs are spread over SPREAD shards, so the shard of
-the commonest word isn't much larger than others; counts are added up before they are sent, so copies of a text weigh little.
+contexts), again packed. A word shard's task adds these up and writes its sorted word hashes and figures. A context's pairs are spread over SPREAD shards, or a 32nd of all if that is more, so however
+many shards there are, the commonest word's aren't much larger than others; counts are added up before they are sent, so copies of a text weigh little.
 
 Discounts come from the counts of counts. The lowest order interpolates continuation counts with the uniform chance 1 / (V + 1), so all words and one unknown word sum to 1.
 
@@ -48,7 +48,7 @@ def pair_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 def pair_shards(context: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
-    return ((context >> U(33)) + (token & U(SPREAD - 1)) * U(0x9E3779B1)) % U(n)
+    return ((context >> U(33)) + (token % U(max(SPREAD, n // 32))) * U(0x9E3779B1)) % U(n)
 
 
 def word_shards(word: np.ndarray, n: int) -> np.ndarray:
