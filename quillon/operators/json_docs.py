@@ -20,6 +20,11 @@ def canonical(c: Column) -> Column:
     return F.to_json(parse(c))
 
 
+def write_binary(df: DataFrame, column: str, path: str) -> None:
+    """The table with the documents in VARIANT's binary form, in Parquet; ``canonical`` of what is read back is that of the text. Text that isn't JSON is null."""
+    df.withColumn(column, parse(F.col(column))).write.parquet(path)
+
+
 def get(c: Column, *path: str | int) -> Column:
     """``->``: the part at a path of keys and places, as JSON text; ``null`` where it is missing."""
     return F.coalesce(F.to_json(F.try_variant_get(parse(c), _path(path), "variant")), F.lit("null"))

@@ -42,8 +42,9 @@ def s4_zone_map_sum(spark, sf):
 
 
 def s5_store_scan(spark, sf):
-    o = table(spark, sf, "orders").withColumn("part", F.floor(F.col("o_orderkey") / 1000).cast("long"))
-    return columnar.scan_sum_less_than(o, "o_orderkey", 3500)
+    path = work_path(spark, "store")
+    columnar.write_parts(table(spark, sf, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 1000).cast("long").alias("part")), path, "o_orderkey")
+    return columnar.scan_sum_less_than(spark, path, "o_orderkey", 3500)
 
 
 def s7_values(spark, sf):
@@ -65,6 +66,13 @@ def s9_binary(spark, sf):
     return out
 
 
+def s18_text(spark, sf):
+    path = work_path(spark, "text")
+    connectors.write(table(spark, sf, "customer").select(F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment").alias("value")), path, "text")
+    line = F.split("value", r"\|")
+    return connectors.read(spark, path, "text").select(line[0].cast("long").alias("c_custkey"), line[1].alias("c_name"), line[2].alias("c_mktsegment"))
+
+
 def s12_rle(spark, sf):
     return columnar.rle_encode(table(spark, sf, "events").select("user_id", "event_id", "event_type"), "event_type", "event_id", "user_id").drop("run")
 
@@ -342,6 +350,12 @@ def d5_equal(spark, sf):
     return _documents(spark, sf).select("event_id", json_docs.equal(F.col("doc"), other).alias("same"), json_docs.equal(F.col("doc"), changed).alias("changed"))
 
 
+def d7_binary(spark, sf):
+    path = work_path(spark, "variant")
+    json_docs.write_binary(table(spark, sf, "events").select("event_id", "props"), "props", path)
+    return spark.read.parquet(path).select("event_id", F.to_json("props").alias("doc"))
+
+
 def d8_tokens(spark, sf):
     return _gin(spark, sf).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
@@ -485,6 +499,7 @@ ORACLE = {
     "s7_values": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a', CAST(0.5 AS DOUBLE)), (2, NULL, 1.5)) t(a, b, c)",
     "s8_csv": "SELECT * FROM nation",
     "s9_binary": "SELECT * FROM supplier",
+    "s18_text": "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, c_mktsegment FROM customer",
     "s12_rle": "WITH c AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM c) SELECT user_id, min(event_id) AS start, min(event_type) AS value, count(*) AS length FROM r GROUP BY user_id, run",
     "s13_dictionary": "SELECT event_type, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS INTEGER) AS code FROM events GROUP BY event_type",
     "s14_merge": "SELECT o_custkey, o_orderpriority, o_orderkey FROM orders ORDER BY o_custkey, o_orderpriority, o_orderkey",
@@ -526,6 +541,7 @@ ORACLE = {
     "d2_nested_paths": f"""WITH d AS (SELECT event_id, CAST({_NESTED} AS JSON) AS doc FROM events) SELECT event_id, doc ->> '$.a.b[2]' AS text, CAST(doc -> '$.a.b[2]' AS VARCHAR) AS part, 'null' AS missing, doc ->> '$.a.t' AS t FROM d""",
     "d5_equal": "SELECT event_id, true AS same, event_id % 7 = 0 AS changed FROM events",
     "d6_canonical": "SELECT event_id, '{\"k\":' || (props ->> 'k') || '}' AS doc FROM events",
+    "d7_binary": "SELECT event_id, '{\"k\":' || (props ->> 'k') || '}' AS doc FROM events",
     "d8_tokens": "WITH k AS (SELECT props ->> 'k' AS k FROM events), t AS (SELECT 'k:k' AS token FROM k UNION ALL SELECT 'k:k=' || k FROM k UNION ALL SELECT 'i:' || k FROM k) SELECT token, count(*) AS n FROM t GROUP BY token",
     "d10_lookup": "SELECT event_id AS doc_id, 'all' AS kind FROM events WHERE props ->> 'k' = '5' UNION ALL SELECT event_id, 'any' FROM events WHERE props ->> 'k' IN ('1', '2')",
     "d11_indexed_contains": "SELECT event_id FROM events WHERE CAST(props ->> 'k' AS BIGINT) = 5",

@@ -1,11 +1,11 @@
 """Column parts: threshold sums with part statistics, run-length and dictionary encoding, merging.
 
-A part is a file of a Parquet dataset. Spark prunes row groups by their min/max; ``scan_sum_less_than`` reports what a zone map decides per part.
+A part is a file of a Parquet dataset. Spark prunes row groups by their min/max; ``scan_sum_less_than`` answers from a store's zone map what it can, and reads the other parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,18 +17,31 @@ def sum_less_than(df: DataFrame, column: str, threshold) -> DataFrame:
     return df.filter(F.col(column) < threshold).agg(F.coalesce(F.sum(column), F.lit(0)).alias("total"))
 
 
-def scan_sum_less_than(parts: DataFrame, column: str, threshold, part: str = "part") -> DataFrame:
-    """One row: total, parts_total, parts_pruned (all at or above the threshold), parts_full (all below), rows_scanned (of the others)."""
+def write_parts(df: DataFrame, path: str, column: str, part: str = "part") -> None:
+    """A store: the rows in one folder per part, and beside them the zone map, a row per part: its least and greatest value, rows and sum."""
+    df.repartition(part).write.partitionBy(part).parquet(f"{path}/rows")
     c = F.col(column)
-    zones = parts.groupBy(part).agg(F.min(c).alias("low"), F.max(c).alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.when(c < threshold, c)).alias("below"))
-    pruned, full = F.col("low") >= threshold, F.col("high") < threshold
-    return zones.agg(
-        F.coalesce(F.sum("below"), F.lit(0)).alias("total"),
+    zones = df.sparkSession.read.parquet(f"{path}/rows").groupBy(part).agg(F.min(c).alias("low"), F.max(c).alias("high"), F.count(c).alias("n"), F.sum(c).alias("sum"))
+    zones.write.parquet(f"{path}/zones")
+
+
+def scan_sum_less_than(spark: SparkSession, path: str, column: str, threshold, part: str = "part") -> DataFrame:
+    """One row: total, parts_total, parts_pruned (all at or above the threshold), parts_full (all below, answered by the zone map), rows_scanned: those of the other parts, the only folders that are read."""
+    zones = spark.read.parquet(f"{path}/zones")
+    pruned, full = F.coalesce(F.col("low") >= threshold, F.lit(True)), F.coalesce(F.col("high") < threshold, F.lit(False))
+    figures = zones.agg(
         F.count(F.lit(1)).alias("parts_total"),
         F.count(F.when(pruned, 1)).alias("parts_pruned"),
         F.count(F.when(full, 1)).alias("parts_full"),
         F.coalesce(F.sum(F.when(~pruned & ~full, F.col("n"))), F.lit(0)).alias("rows_scanned"),
+        F.coalesce(F.sum(F.when(full, F.col("sum"))), F.lit(0)).alias("known_"),
     )
+    # the parts to read are found when the query runs: dynamic partition pruning by the zone map
+    mixed = zones.filter(~pruned & ~full).select(F.col(part).alias("mixed_"))
+    rows = spark.read.parquet(f"{path}/rows").join(F.broadcast(mixed) if figures.first()["parts_total"] <= 100_000 else mixed, F.col(part) == F.col("mixed_"), "left_semi")
+    scanned = rows.filter(F.col(column) < threshold).agg(F.coalesce(F.sum(column), F.lit(0)).alias("scanned_"))
+    both = figures.crossJoin(scanned)  # one row each
+    return both.select((F.col("known_") + F.col("scanned_")).alias("total"), "parts_total", "parts_pruned", "parts_full", "rows_scanned")
 
 
 def with_file_part(df: DataFrame) -> DataFrame:

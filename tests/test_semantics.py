@@ -79,7 +79,9 @@ def test_columnar(spark):
     coded = columnar.dictionary_encode(df, "v", "i").orderBy("i").collect()
     assert [r.code for r in coded] == [0, 0, 0, 1, 2, 2, 0]
     parts = spark.range(100_000).select("id", F.floor(F.col("id") / 30_000).alias("part"))
-    got = columnar.scan_sum_less_than(parts, "id", 35_000).first()
+    store = work_path(spark, "store-test")
+    columnar.write_parts(parts, store, "id")
+    got = columnar.scan_sum_less_than(spark, store, "id", 35_000).first()
     assert (got.total, got.parts_total, got.parts_pruned, got.parts_full, got.rows_scanned) == (sum(range(35_000)), 4, 2, 1, 30_000)
     assert columnar.sum_less_than(parts, "id", 0).first().total == 0
 
