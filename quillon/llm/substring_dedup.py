@@ -67,7 +67,7 @@ def cuts(block: Block) -> np.ndarray:
 
 
 def short_paragraphs(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, words after): from each cut to the end of the next one, of SHORT_WORDS words at least; of more where cuts stand close, as in a repeated word."""
+    """(first words, words after): from each cut to the end of the next one, of SHORT_WORDS words at least; of more where cuts stand close, and of PASSAGE_WORDS where one word goes on for so long."""
     c = cuts(block)
     if len(c) < 2:
         return c[:0], c[:0]
@@ -75,6 +75,8 @@ def short_paragraphs(block: Block) -> tuple[np.ndarray, np.ndarray]:
     ok = text[1:] == text[:-1]
     a, b = c[:-1][ok], c[1:][ok]
     least = np.where(b - a <= GRAM, PASSAGE_WORDS - REACH + 1, SHORT_WORDS)
+    other = np.append(np.flatnonzero(block.hashes[1:] != block.hashes[:-1]) + 1, len(block.hashes))
+    least[other[np.searchsorted(other, a, "right")] - a >= PASSAGE_WORDS] = PASSAGE_WORDS
     return a, np.minimum(np.maximum(b + GRAM, a + least), block.first[text[:-1][ok] + 1])
 
 

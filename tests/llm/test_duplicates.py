@@ -264,3 +264,20 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "size", "source_size", "target", "taken", "position"] and out.count() == len(ids[3])
     assert out.agg(F.sum("taken")).first()[0] == pytest.approx(out.agg(F.sum("size")).first()[0], abs=4)
+
+
+def test_operators_6_and_7_on_documents(spark):
+    """The whole table of a thousand documents: all links, and every document with fifty words in a row that another one has."""
+    folder = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in common.table(spark, folder, "documents").select("doc_id", "text").collect()]
+    got = near_duplicates.op6_ngram_jaccard_join(spark, folder).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.class_id, r.n_links) for r in got) == brute_links(rows)
+    found = substring_dedup.op7_substring_dedup(spark, folder).collect()
+    shared = {rows[k][0] for k in shared_passages(rows)}
+    # nothing else goes but near copies of what an earlier document has
+    texts = dict(rows)
+    assert shared <= {r.doc_id for r in found}
+    for r in found:
+        if r.removed:
+            own = windows(texts[r.doc_id].encode()[r.start : r.end].decode())
+            assert len(own & windows(texts[r.first_id])) >= 0.8 * len(own) and r.n_words >= 50 and r.first_id < r.doc_id
