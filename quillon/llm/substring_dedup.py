@@ -6,8 +6,8 @@ with or without punctuation.
 
 Paragraphs of different documents that agree in a value collide. Each is joined to the first document that has the value (the first itself to the second one); first is the least id, nulls last, then the least row
 digest. Successive paragraphs joined to the same stretch of the same document are one candidate. It is verified on the words of both documents around it: runs of equal word windows are extended to
-their ends, runs with few words between are bridged, and what has PASSAGE_WORDS words or more and Jaccard >= 0.8 on word windows is a repeated passage. Passages that share paragraphs are one
-cluster, by components. A passage joined to an earlier document is removed, so the first copy stays.
+their ends, runs with few words between are bridged, and what has PASSAGE_WORDS words or more and Jaccard >= 0.8 on word windows is a repeated passage. A verified passage is linked to the place where it was found again, and to what
+passages of that document hold the place; clusters are components of these links. A passage joined to an earlier document is removed, so the first copy stays.
 
 Texts are read three times. What is shuffled are hashes, and the texts with candidates once; the commonest values' rows are dealt to all tasks (``packed.look_up``), and a document with very many copies is in
 plain joins only, which AQE splits.
@@ -169,12 +169,11 @@ def _chains(row, place, words, other, there, gone, key, copies) -> pa.RecordBatc
     chain = np.cumsum(new) - 1
     best = np.lexsort((key, copies, chain))[first] if n else first
     end = np.maximum.reduceat(place + words, first) if n else first
-    keys = pa.ListArray.from_arrays(pa.array(np.append(first, n).astype(np.int32)), pa.array(key))
     columns = [row[first], place[first], end, other[first], place[best], there[best], gone[first] > 0]
-    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), keys], ["row", "first", "after", "other", "here", "there", "gone", "keys"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "first", "after", "other", "here", "there", "gone"])
 
 
-_CHAIN = "row long, first long, after long, other long, here long, there long, gone boolean, keys array<long>"
+_CHAIN = "row long, first long, after long, other long, here long, there long, gone boolean"
 
 
 def _candidates(texts: DataFrame, threshold: float, recall: float, rows: int) -> DataFrame:
@@ -216,24 +215,24 @@ def _candidates(texts: DataFrame, threshold: float, recall: float, rows: int) ->
     return common.written(packed.shuffle(found, joined, same, _chains, (i8, i4, i4, i8, i4, np.int8, i8, i8), _CHAIN), "passage-candidates")
 
 
-_SLICE = "own boolean, row long, id long, base long, first long, other long, here long, there long, gone boolean, keys array<long>, text string"
+_SLICE = "own boolean, row long, id long, base long, first long, other long, here long, there long, gone boolean, text string"
 
 
 def _slices(texts: DataFrame, chains: DataFrame) -> DataFrame:
     """The words of candidates and around (own), and those that others are laid to."""
     here, around = F.col("here"), F.lit(AROUND)
-    own = chains.select("row", F.struct(F.lit(True).alias("own"), (F.col("first") - around).alias("first"), (F.col("after") + around).alias("after"), "other", "here", "there", "gone", "keys").alias("want"))
+    own = chains.select("row", F.struct(F.lit(True).alias("own"), (F.col("first") - around).alias("first"), (F.col("after") + around).alias("after"), "other", "here", "there", "gone").alias("want"))
     # a document's paragraphs bound its slices, however many candidates are laid to one; similar stretches differ in length by a quarter at most
     there = chains.groupBy("other", "there").agg(F.max(here - F.col("first")).alias("left"), F.max(F.col("after") - here).alias("right"))
     first = (F.col("there") - F.col("left") * 5 / 4).cast("long") - around
     after = (F.col("there") + F.col("right") * 5 / 4).cast("long") + around
     none = F.lit(0).cast("long")
-    laid = there.select(F.col("other").alias("row"), F.struct(F.lit(False).alias("own"), first.alias("first"), after.alias("after"), none.alias("other"), none.alias("here"), "there", F.lit(False).alias("gone"), F.array().cast("array<bigint>").alias("keys")).alias("want"))
+    laid = there.select(F.col("other").alias("row"), F.struct(F.lit(False).alias("own"), first.alias("first"), after.alias("after"), none.alias("other"), none.alias("here"), "there", F.lit(False).alias("gone")).alias("want"))
     wanted = common.written(own.union(laid).groupBy(F.col("row").alias("row_")).agg(F.collect_list("want").alias("wants")), "passage-wants")
     seen: set[int] = set()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("own", pa.bool_()), ("row", pa.int64()), ("id", pa.int64()), ("base", pa.int64()), ("first", pa.int64()), *((c, pa.int64()) for c in ("other", "here", "there")), ("gone", pa.bool_()), ("keys", pa.list_(pa.int64())), ("text", pa.string())])
+        schema = pa.schema([("own", pa.bool_()), ("row", pa.int64()), ("id", pa.int64()), ("base", pa.int64()), ("first", pa.int64()), *((c, pa.int64()) for c in ("other", "here", "there")), ("gone", pa.bool_()), ("text", pa.string())])
         held, size = [], 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
         for batch in batches:
@@ -249,7 +248,7 @@ def _slices(texts: DataFrame, chains: DataFrame) -> DataFrame:
                         if a >= b:
                             continue
                         start, end = int(block.starts[low + a]), int(block.ends[low + b - 1])
-                        held.append((w["own"], rows[r], ids[r], start - base, a, w["other"], w["here"], w["there"], w["gone"], w["keys"], block.data[start:end].tobytes().decode()))
+                        held.append((w["own"], rows[r], ids[r], start - base, a, w["other"], w["here"], w["there"], w["gone"], block.data[start:end].tobytes().decode()))
                         size += end - start
                         if size > 4 << 20:
                             yield flush()
@@ -328,7 +327,7 @@ def passages(here: pa.Array, there: pa.Array, shift: np.ndarray, threshold: floa
                 yield pair, s, e + WIDTH, int(x.starts[low] - x.offsets[pair]), int(x.ends[high - 1] - x.offsets[pair])
 
 
-_FOUND = "row long, id long, first long, after long, start long, end long, removed boolean, first_id long, key long, keys array<long>"
+_FOUND = "row long, id long, first long, after long, start long, end long, removed boolean, first_id long, other long, there long"
 
 
 def _verified(slices: DataFrame, threshold: float, least: int) -> DataFrame:
@@ -339,18 +338,16 @@ def _verified(slices: DataFrame, threshold: float, least: int) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 64):
                 batch = whole.slice(at, 64)
-                c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("row", "id", "base", "first", "here", "there", "first_", "id_", "gone")}
+                c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("row", "id", "base", "first", "here", "there", "first_", "id_", "gone", "other")}
                 shift = (c["there"] - c["first_"]) - (c["here"] - c["first"])
                 found = list(passages(batch.column("text"), batch.column("text_"), shift, threshold, least))
                 if not found:
                     continue
                 pair, a, b, s, e = (np.array(x, np.int64) for x in zip(*found, strict=True))
-                keys = batch.column("keys").take(pa.array(pair))
-                least_key = np.minimum.reduceat(keys.flatten().to_numpy(), np.append(0, np.cumsum(keys.value_lengths().to_numpy())[:-1]))
-                columns = [c["row"][pair], c["id"][pair], c["first"][pair] + a, c["first"][pair] + b, c["base"][pair] + s, c["base"][pair] + e, c["gone"][pair], np.where(c["gone"][pair], c["id_"][pair], c["id"][pair]), least_key]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), keys], ["row", "id", "first", "after", "start", "end", "removed", "first_id", "key", "keys"])
+                columns = [c["row"][pair], c["id"][pair], c["first"][pair] + a, c["first"][pair] + b, c["base"][pair] + s, c["base"][pair] + e, c["gone"][pair], np.where(c["gone"][pair], c["id_"][pair], c["id"][pair]), c["other"][pair], c["there"][pair]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "id", "first", "after", "start", "end", "removed", "first_id", "other", "there"])
 
-    names = ["row", "id", "base", "first", "here", "there", "gone", "keys", "text", "first_", "id_", "text_"]
+    names = ["row", "id", "base", "first", "here", "there", "gone", "other", "text", "first_", "id_", "text_"]
     return common.written(common.map_arrow(pairs.select(*names), verify, _FOUND), "passages-verified")
 
 
@@ -363,14 +360,19 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     before = F.max("after").over(W.partitionBy("row", "removed").orderBy("first", "after").rowsBetween(W.unboundedPreceding, -1))
     found = found.withColumn("new", F.coalesce((F.col("first") > before).cast("int"), F.lit(0)))
     found = found.withColumn("part", F.sum("new").over(W.partitionBy("row", "removed").orderBy("first", "after").rowsBetween(W.unboundedPreceding, 0)))
-    found = common.written(found.withColumn("head", F.min("key").over(W.partitionBy("row", "removed", "part"))), "passage-parts")
-    ties = components(found.select(F.col("head").alias("a"), F.explode("keys").alias("b"))).withColumnRenamed("id", "id_")
-    whole = found.groupBy("row", "id", "removed", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"), F.max("after").alias("after"), F.min("head").alias("head"), F.min("first_id").alias("first_id"))
+    own, place = F.xxhash64("row", "removed", "part"), F.xxhash64("other", "there")
+    found = common.written(found.withColumn("passage", own).withColumn("place", place), "passage-parts")
+    whole = found.groupBy("passage", "row", "id", "removed").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"), F.max("after").alias("after"), F.min("first_id").alias("first_id"))
+    whole = common.written(whole, "passages")
+    holders = whole.select(F.col("row").alias("row_"), F.col("first").alias("first_"), F.col("after").alias("after_"), F.col("passage").alias("holder"))
+    places = common.written(found.select("place", "other", "there").distinct(), "passage-places")
+    held = places.join(holders, (F.col("other") == F.col("row_")) & (F.col("there") >= F.col("first_")) & (F.col("there") < F.col("after_")))
+    ties = components(found.select(F.col("passage").alias("a"), F.col("place").alias("b")).union(held.select(F.col("holder").alias("a"), F.col("place").alias("b"))))
+    whole = whole.join(common.written(ties.withColumnRenamed("id", "id_"), "passage-classes"), F.col("passage") == F.col("id_")).withColumn("class_id", F.col("root"))
     # a first copy that lies in a removed passage says nothing more
     gone = F.collect_list(F.when(F.col("removed"), F.struct("first", "after"))).over(W.partitionBy("row"))
     whole = whole.withColumn("gone", gone).filter(F.col("removed") | ~F.exists("gone", lambda x: (x["first"] <= F.col("first")) & (x["after"] >= F.col("after"))))
     whole = whole.withColumn("n_words", F.col("after") - F.col("first")).drop("gone")
-    whole = common.written(whole, "passages").join(common.written(ties, "passage-classes"), F.col("head") == F.col("id_"), "left").withColumn("class_id", F.coalesce("root", "head"))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return whole.select(known("id").alias(id_col), "start", "end", "n_words", "class_id", known("first_id").alias("first_id"), "removed", F.col("row").alias("row_id"))
 
