@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.sources.connectors import table
-from quillon.sources.work import broadcast_if_small, work_path, written
+from quillon.sources.work import work_path, written
 
-__all__ = ["SPACE", "WORD", "apply_arrow", "broadcast_if_small", "filter_rows", "map_arrow", "needs", "posix_path", "row_id", "shuffle_partitions", "table", "work_path", "written"]
+__all__ = ["SPACE", "WORD", "apply_arrow", "filter_rows", "map_arrow", "needs", "posix_path", "row_id", "shuffle_partitions", "table", "work_path", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"

@@ -38,8 +38,6 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 NEAR = 1 << 16
 NO_ID = (1 << 63) - 1
 FILE_BYTES = 64 << 20
-#: About 16 MB of digests.
-BROADCAST_ROWS = 200_000
 READ_SCHEMA = "archive string, offset long, kind string, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary, note string"
 
 
@@ -213,8 +211,8 @@ def base32_sha1(content: Column) -> Column:
 def with_roles(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, payload_digest, payload_bytes, and first_id: the id whose record holds the payload.
 
-    Payloads of fewer than least_bytes bytes are always responses. The digests that occur more than once are broadcast while they are few
-    (BROADCAST_ROWS); beyond that, payloads cross the network once, in a join whose hot digests AQE splits.
+    Payloads of fewer than least_bytes bytes are always responses. Payloads cross the network once, in a join with the digests that occur more than once; both its sides are plain
+    shuffles, so AQE splits hot digests.
     """
     payload = F.coalesce(pages[f"`{payload_col}`"], F.lit(""))
     rows = pages.select(pages[f"`{id_col}`"].cast("long").alias("page_id"), pages[f"`{url_col}`"].alias("url"), payload.alias("payload"))
@@ -222,7 +220,7 @@ def with_roles(pages: DataFrame, id_col: str, url_col: str, payload_col: str, le
     shared = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
     shared = shared.agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("page_id", F.lit(NO_ID))).alias("first_id")).filter("n > 1").drop("n")
     shared = common.written(shared, "warc-shared")
-    return rows.join(common.broadcast_if_small(shared, BROADCAST_ROWS), "payload_digest", "left")
+    return rows.join(shared.hint("merge"), "payload_digest", "left")
 
 
 def _record_text(row_id: Column, url: Column, payload: Column, digest: Column, size: Column, first_id: Column) -> Column:
