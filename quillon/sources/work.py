@@ -6,7 +6,6 @@ import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _root(spark: SparkSession) -> str:
@@ -41,8 +40,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """For a written table: a broadcast hint if it has ``rows`` rows at most; else the planner's choice."""
-    return F.broadcast(df) if df.count() <= rows else df
