@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import types
-from quillon.operators import json_docs, text, timeseries, vector, versioned
+from quillon.operators import graph, json_docs, text, timeseries, vector, versioned
 from quillon.plans import relational
 from quillon.plans.engine import Engine
 from quillon.sources import columnar, connectors
@@ -286,6 +286,39 @@ def k8_inverted_lists(spark, sf):
     return ivf.search(spark.read.parquet(path), _query_vectors(spark, sf), 10, n_probe=ivf.half()).select("query_id", "id", "rank")
 
 
+def _graph(spark, sf) -> graph.GraphIndex:
+    """Built from the even labels' rows; the others are added."""
+    e = table(spark, sf, "embeddings")
+    index = graph.GraphIndex.build(e.filter("label % 2 = 0"), work_path(spark, "graph"), codes=16, attributes=("label",))
+    index.add(e.filter("NOT coalesce(label % 2 = 0, false)"))
+    return index
+
+
+def k4_graph(spark, sf):
+    return _graph(spark, sf).search(_query_vectors(spark, sf), 10).select("query_id", "id", "rank")
+
+
+def k5_graph_filtered(spark, sf):
+    return _graph(spark, sf).search(_query_vectors(spark, sf), 5, where=lambda row: row["label"] == 3).select("query_id", "id", "rank")
+
+
+def k12_graph_codes(spark, sf):
+    return _graph(spark, sf).search_by_codes(table(spark, sf, "embeddings"), _query_vectors(spark, sf), 10).select("query_id", "id", "rank")
+
+
+def k4_graph_recall(spark, sf):
+    """Each search of the graph against exact search: the queries, the rows found, and whether nine in ten of the exact neighbours are among them."""
+    e, q, g = table(spark, sf, "embeddings"), _query_vectors(spark, sf), _graph(spark, sf)
+    exact, some = (written(vector.knn(rows, q, 10).select("query_id", "id"), "exact") for rows in (e, e.filter("label < 5")))
+    found = {"walk": (g.search(q, 10), exact), "filtered": (g.search(q, 10, where=lambda row: row["label"] < 5), some), "codes": (g.search_by_codes(e, q, 10), exact)}
+    out = None
+    for kind, (rows, want) in found.items():
+        both = rows.select("query_id", "id", F.lit(1).alias("got")).join(want.withColumn("want", F.lit(1)), ["query_id", "id"], "full")
+        r = both.agg(F.countDistinct("query_id").alias("queries"), F.sum("got").alias("found"), (10 * F.count(F.col("got") + F.col("want")) >= 9 * F.count("want")).alias("enough")).withColumn("kind", F.lit(kind))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def k13_search(spark, sf):
     """Exact or by inverted lists, as the number of rows asks."""
     return vector.search(table(spark, sf, "embeddings"), _query_vectors(spark, sf), 7, F.col("label") < 5).select("query_id", "id", "rank")
@@ -531,6 +564,7 @@ ORACLE = {
     "k2_cosine_knn": _KNN.format(metric=_COS, where="true", k=10),
     "k3_exact_knn": _KNN.format(metric=_L2, where="true", k=10),
     "k5_filtered_knn": _KNN.format(metric=_L2, where="e.label = 3", k=5),
+    "k4_graph_recall": "WITH e AS (SELECT count(*) FILTER (WHERE vec_id % 100 = 0) AS q, least(count(*), 10) AS a, least(count(*) FILTER (WHERE label < 5), 10) AS b FROM embeddings) SELECT unnest(['walk', 'filtered', 'codes']) AS kind, q AS queries, CAST(q * unnest([a, b, a]) AS BIGINT) AS found, true AS enough FROM e",
     "k13_search": _KNN.format(metric=_L2, where="e.label < 5", k=7),
     "k9_sq8": "WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), r AS (SELECT dim, min(v) AS lo, max(v) AS hi FROM x GROUP BY dim), c AS (SELECT x.dim, CAST(floor(least(greatest((v - lo) * (255 / (hi - lo)), 0), 255) + 0.5) AS INTEGER) AS code FROM x JOIN r ON x.dim = r.dim) SELECT CAST(dim AS INTEGER) AS dim, CAST(sum(code) AS BIGINT) AS total, min(code) AS least, max(code) AS most FROM c GROUP BY dim",
     "k11_sq8_search": "SELECT e.vec_id FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), e.vec_id LIMIT 10",
@@ -560,5 +594,5 @@ ORACLE = {
 }
 
 QUERIES = dict(relational.QUERIES)
-QUERIES |= {name: globals()[name] for name in [*ORACLE, "k8_inverted_lists"]}
+QUERIES |= {name: globals()[name] for name in [*ORACLE, "k8_inverted_lists", "k4_graph", "k5_graph_filtered", "k12_graph_codes"]}
 ORACLE_SQL = relational.ORACLE_SQL | ORACLE
