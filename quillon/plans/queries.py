@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.functions import types
+from quillon.functions import clock, types
 from quillon.operators import graph, json_docs, text, timeseries, vector, versioned
 from quillon.plans import relational
 from quillon.plans.engine import Engine
@@ -510,6 +510,13 @@ def x10_secondary_index(spark, sf):
     return versioned.index_range(o, 10, 40, now=1100, expire_after=500).select("skey", "pk")
 
 
+def x11_clock(spark, sf):
+    """Events in the order in which they came, seconds apart in a clock that stands still for a minute and jumps back every ninth event: a clock per user."""
+    wall = F.col("ts_ms") - F.col("ts_ms") % 60_000 - F.when(F.col("event_id") % 9 == 0, 3 * DAY).otherwise(0)
+    log = clock.stamped(_series(spark, sf, "event_id", "user_id").withColumn("wall", wall), "user_id", "event_id", "wall")
+    return log.select("event_id", "user_id", "hlc_wall", F.col("hlc_logical").cast("long").alias("hlc_logical"), clock.packed(F.col("hlc_wall"), F.col("hlc_logical")).alias("stamp"))
+
+
 def v10_types(spark, sf):
     o = table(spark, sf, "orders")
     return o.groupBy(types.date_number(F.col("o_orderdate")).alias("day")).agg(types.total(F.col("o_custkey")).alias("keys"), F.round(types.ratio(F.sum("o_totalprice"), F.sum("o_custkey") - F.sum("o_custkey")), 2).alias("nothing"))
@@ -590,6 +597,7 @@ ORACLE = {
     "x7_grants": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, true AS refused FROM nation",
     "x8_row_policies": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE (o_orderstatus = 'O' AND o_totalprice > 100000) OR o_orderpriority = '1-URGENT' GROUP BY o_orderstatus",
     "x10_secondary_index": "SELECT o_custkey AS skey, o_orderkey AS pk FROM orders WHERE o_custkey BETWEEN 10 AND 40 AND o_orderkey % 1000 + 500 > 1100",
+    "x11_clock": f"WITH e AS (SELECT event_id, user_id, ts_ms - ts_ms % 60000 - CASE WHEN event_id % 9 = 0 THEN {3 * DAY} ELSE 0 END AS wall FROM ({_S})), m AS (SELECT event_id, user_id, CAST(max(wall) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hlc_wall FROM e), l AS (SELECT *, row_number() OVER (PARTITION BY user_id, hlc_wall ORDER BY event_id) - 1 AS hlc_logical FROM m) SELECT event_id, user_id, hlc_wall, hlc_logical, hlc_wall * 65536 + hlc_logical AS stamp FROM l",
     "v10_types": "SELECT CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS INTEGER) AS day, sum(CAST(o_custkey AS DOUBLE)) AS keys, CAST(NULL AS DOUBLE) AS nothing FROM orders GROUP BY 1",
 }
 
