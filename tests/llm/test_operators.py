@@ -72,52 +72,70 @@ def test_token_counts(spark, folder):
     assert sorted(r["n_tokens"] for r in first) == sorted(len(t.encode(x, add_special_tokens=False).ids) for _, x in texts)
 
 
-def brute_bigram(train, tests):
-    """A plain modified Kneser-Ney model of order 2."""
+def brute_ngrams(train, tests, order=2):
+    """A plain modified Kneser-Ney model."""
     low = lambda t: [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(t or "")]
-    pairs = Counter()
+    padded = lambda t: ["<s>"] * (order - 1) + [*low(t), "</s>"]
+    uni, counts = Counter(), {order: Counter()}
     for t in train:
-        s = ["<s>", *low(t), "</s>"]
-        pairs.update(zip(s, s[1:], strict=False))
-    uni = Counter()
-    for (_, w), n in pairs.items():
-        uni[w] += n
+        s = padded(t)
+        uni.update(s[order - 1 :])
+        counts[order].update(tuple(s[i - order + 1 : i + 1]) for i in range(order - 1, len(s)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
     n_all, v = sum(uni.values()), len(uni)
-    cont = Counter(w for _, w in pairs)
-
-    def disc(counts):
-        return ngram_lm.discounts([sum(1 for c in counts if c == k) for k in (1, 2, 3, 4)])
-
-    d, e = disc(pairs.values()), disc(cont.values())
+    disc = {k: ngram_lm.discounts([sum(1 for c in counts[k].values() if c == j) for j in (1, 2, 3, 4)]) for k in counts}
     total, kinds = Counter(), {}
-    for (c, _), n in pairs.items():
-        total[c] += n
-        kinds.setdefault(c, [0, 0, 0, 0])[min(n, 3)] += 1
-    left = sum(e[min(c, 3)] for c in cont.values()) / max(1, len(pairs)) if pairs else 1.0
+    for k in range(1, order + 1):
+        for g, n in counts[k].items():
+            total[k, g[:-1]] += n
+            kinds.setdefault((k, g[:-1]), [0, 0, 0, 0])[min(n, 3)] += 1
+
+    def chance(g):
+        k = len(g)
+        lower = chance(g[1:]) if k > 1 else 1 / (v + 1)
+        if (k, g[:-1]) not in kinds:
+            return lower
+        n = counts[k][g]
+        left = sum(disc[k][j] * kinds[k, g[:-1]][j] for j in (1, 2, 3))
+        return (max(n - disc[k][min(n, 3)], 0) + left * lower) / total[k, g[:-1]]
+
     out = []
     for t in tests:
-        s, score, base, known = ["<s>", *low(t), "</s>"], 0.0, 0.0, 0
-        for c, w in zip(s, s[1:], strict=False):
-            lowest = max(cont[w] - e[min(cont[w], 3)], 0) / max(1, len(pairs)) + left / (v + 1)
-            n = pairs[c, w]
-            g = sum(d[k] * kinds[c][k] for k in (1, 2, 3)) / total[c] if c in kinds else 1.0
-            score += math.log10(max(n - d[min(n, 3)], 0) / max(total[c], 1) + g * lowest)
-            base += math.log10((uni[w] + 1) / (n_all + v + 1))
-            known += uni[w] > 0
-        out.append((len(s) - 1, known, n_all, base, score))
+        s = padded(t)
+        words = s[order - 1 :]
+        score = sum(math.log10(chance(tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s)))
+        out.append((len(words), sum(uni[w] > 0 for w in words), n_all, sum(math.log10((uni[w] + 1) / (n_all + v + 1)) for w in words), score))
     return out
 
 
 def test_language_model(spark, folder):
     rows = odd_rows()
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows]
-    want = brute_bigram([r[1] for r, h in zip(rows, held, strict=True) if not h], [r[1] for r in rows])
+    want = brute_ngrams([r[1] for r, h in zip(rows, held, strict=True) if not h], [r[1] for r in rows])
     got = QUERIES["op2_lm_scoring"](spark, folder).collect()
     key = lambda x: tuple(round(y, 6) for y in x)
     assert sorted(key((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)) for r in got) == sorted(map(key, want))
     assert sorted((r.doc_id or 0, r.held_out) for r in got) == sorted((r[0] or 0, h) for r, h in zip(rows, held, strict=True))
 
 
+@pytest.mark.parametrize(("order", "flush", "shard_bytes"), [(2, 50, 200), (3, 1 << 20, 16 << 20), (3, 50, 200), (4, 50, 200)])
+def test_orders_of_the_language_model(spark, monkeypatch, order, flush, shard_bytes):
+    """Several shards, and tasks that send what they have several times."""
+    monkeypatch.setattr(ngram_lm, "FLUSH_TOKENS", flush)
+    monkeypatch.setattr(ngram_lm, "SHARD_BYTES", shard_bytes)
+    rng = random.Random(order)
+    texts = [*(prose(rng, 3) for _ in range(30)), None, "", "one", "One two", "a a a a a a", "a a a"]
+    train, tests = texts + texts[:5], [*texts, "never seen before", prose(rng, 3)]
+    of = lambda ts: spark.createDataFrame([(t,) for t in ts], "text string").repartition(3)
+    model = ngram_lm.train(of(train), common.work_path(spark, "lm"), order)
+    key = lambda x: tuple(round(y, 6) for y in x)
+    got = [key((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)) for r in ngram_lm.score(of(tests), model, F.col("text")).collect()]
+    assert sorted(got) == sorted(map(key, brute_ngrams(train, tests, order)))
+    none = ngram_lm.train(of(train).filter("false"), common.work_path(spark, "lm"), order)
+    assert ngram_lm.score(of(tests), none, F.col("text")).agg(F.sum("score")).first()[0] == 0
+
+
 def test_language_model_sums_to_one_and_beats_base(spark):
     rng = random.Random(9)
     texts = [prose(rng, 3) for _ in range(40)]
