@@ -326,9 +326,9 @@ def train(texts: DataFrame, folder: str, order: int = ORDER) -> NgramModel:
         figures = [stats["count"].sum(), len(several), several.sum(), *_counts_of_counts(several), (several > 2).sum(), *np.concatenate(gram_counts)]
         return pa.table({f"x{k}": pa.array([int(v)], pa.int64()) for k, v in enumerate(figures)})
 
-    sent = common.map_arrow(texts.select("text"), count, schema).repartition(n, "shard")
+    sent = common.map_arrow(texts.select("text"), count, schema).repartitionById(n, "shard")
     for level in range(order, 1, -1):
-        sent = common.apply_arrow(sent, "shard", merge(level), schema).repartition(n_words if level == 2 else n + n_words, "shard")
+        sent = common.apply_arrow(sent, "shard", merge(level), schema).repartitionById(n_words if level == 2 else n + n_words, "shard")
     n_figures = 8 + 4 * (order - 1)
     figures = common.apply_arrow(sent, "shard", merge_words, ", ".join(f"x{k} long" for k in range(n_figures)))
     r = figures.agg(*[F.coalesce(F.sum(f"x{k}"), F.lit(0)).alias(f"x{k}") for k in range(n_figures)]).first()
