@@ -93,7 +93,7 @@ def shuffle(
         blobs = [unpack(memoryview(b.as_buffer()), *types) for b in table.column("blob")]
         return pa.Table.from_batches([reduce(*combine(*map(np.concatenate, zip(*blobs, strict=True))))])
 
-    sent = common.map_arrow(rows, _sender(n, produce, combine), "shard int, blob binary").repartition(n, "shard")
+    sent = common.map_arrow(rows, _sender(n, produce, combine), "shard int, blob binary").repartitionById(n, "shard")
     return common.apply_arrow(sent, "shard", receive, schema)
 
 
@@ -137,4 +137,4 @@ def look_up(rows: DataFrame, produce: Callable[[pa.RecordBatch], Iterator[tuple[
         at = at[found]
         return pa.table([*(pa.array(c[found]) for c in row), *(pa.array(k[at]) for k in key[1:])], names=[*names, *more])
 
-    return common.apply_arrow(sent.union(other).repartition(n, "shard"), "shard", receive, schema)
+    return common.apply_arrow(sent.union(other).repartitionById(n, "shard"), "shard", receive, schema)
