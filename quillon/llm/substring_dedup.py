@@ -5,7 +5,9 @@ give one value, that of all their words: they are cut at words that are the leas
 with or without punctuation.
 
 Paragraphs of different documents that agree in a value collide. Each is joined to the first document that has the value (the first itself to the second one); first is the least id, nulls last, then the least row
-digest. Successive paragraphs joined to the same stretch of the same document are one candidate. It is verified on the words of both documents around it: runs of equal word windows are extended to
+digest. Where the holders of a value differ in their surroundings, each is also joined to the first that has its own surroundings, and where there are three surroundings or more, one holder of each is compared
+with all others: by all stretches of PASSAGE_WORDS words around a short paragraph, each being joined to the first document that has it, and long ones by exact Jaccard of all pairs that the pruning of ``near_sets`` leaves,
+each being joined to the earliest that reaches the threshold. Successive paragraphs joined to the same stretch of the same document are one candidate. It is verified on the words of both documents around it: runs of equal word windows are extended to
 their ends, runs with few words between are bridged, and what has PASSAGE_WORDS words or more and Jaccard >= 0.8 on word windows is a repeated passage. A verified passage is linked to the place where it was found again, and to what
 passages of that document hold the place; clusters are components of these links. A passage joined to an earlier document is removed, so the first copy stays.
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from quillon.llm import common, packed
 from quillon.llm import near_sets as N
 from quillon.llm.components import components
-from quillon.llm.words import Block, U, blocks, blocks_raw, mix, runs_hash
+from quillon.llm.words import Block, U, blocks, blocks_raw, mix, runs_hash, shingles
 
 PASSAGE_WORDS = 50
 WIDTH = 5
@@ -110,20 +112,25 @@ def _minhash(block: Block, a: np.ndarray, b: np.ndarray, n_hashes: int) -> np.nd
     return N.minhash(runs_hash(block.hashes, s, s + WIDTH), starts, n_hashes)
 
 
-def collision_keys(block: Block, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, first word in it, words) for all paragraphs of a block."""
+def collision_keys(block: Block, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, first word in it, words, surroundings) for all paragraphs of a block. surroundings: a digest of the words in all stretches of PASSAGE_WORDS words that hold a short paragraph (even),
+    and of all words of a long one (odd); paragraphs that agree in it and the key are copies."""
     a, b = short_paragraphs(block)
     c, d = long_paragraphs(block)
-    keys = [runs_hash(block.hashes, a, b).view(np.int64)]
+    text = np.searchsorted(block.first, a, "right") - 1
+    more = np.maximum(PASSAGE_WORDS - (b - a), 0)
+    before, after = runs_hash(block.hashes, np.maximum(a - more, block.first[text]), a), runs_hash(block.hashes, b, np.minimum(b + more, block.first[text + 1]))
+    keys, around = [runs_hash(block.hashes, a, b).view(np.int64)], [mix(before ^ mix(after)) & ~U(1)]
     if len(c):
         keys.append(N.band_hashes(_minhash(block, c, d, bands * rows), bands, rows).reshape(-1))
+        around.append(np.repeat(runs_hash(block.hashes, c, d) | U(1), bands))
         a, b = np.append(a, np.repeat(c, bands)), np.append(b, np.repeat(d, bands))
     text = np.searchsorted(block.first, a, "right") - 1
-    return np.concatenate(keys), text, (a - block.first[text]).astype(np.int32), (b - a).astype(np.int32)
+    return np.concatenate(keys), text, (a - block.first[text]).astype(np.int32), (b - a).astype(np.int32), np.concatenate(around).view(np.int64)
 
 
-def _two_first(key, id_, row, place, n):
-    """Of each key, the rows of the two first documents; the first one's n is the number of all of the key."""
+def _two_first(key, id_, row, place, n, around, mixed):
+    """Of each key, the rows of the two first documents; the first one's n is the number of all of the key, its mixed whether they differ in their surroundings."""
     order = np.argsort(key, kind="stable")
     k = key[order]
     start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else order
@@ -132,22 +139,25 @@ def _two_first(key, id_, row, place, n):
     more = more[np.lexsort((place[more], row[more], id_[more], key[more]))]
     k, r = key[more], row[more]
     if not len(more):
-        return tuple(x[one] for x in (key, id_, row, place, n))
+        return tuple(x[one] for x in (key, id_, row, place, n, around, mixed))
     new_key = np.append(True, k[1:] != k[:-1])
     fresh = new_key | np.append(True, r[1:] != r[:-1])
-    total = np.add.reduceat(n[more], np.flatnonzero(new_key))
+    starts = np.flatnonzero(new_key)
+    total = np.add.reduceat(n[more], starts)
+    differ = np.maximum.reduceat(mixed[more], starts) | (np.minimum.reduceat(around[more], starts) != np.maximum.reduceat(around[more], starts))
     rank = np.cumsum(fresh) - np.maximum.accumulate(np.where(new_key, np.cumsum(fresh), 0))
     kept = np.flatnonzero(fresh & (rank < 2))
     count = np.where(new_key[kept], total[np.cumsum(new_key)[kept] - 1], 0)
     chosen = np.append(one, more[kept])
-    return (*(x[chosen] for x in (key, id_, row, place)), np.append(n[one], count))
+    told = np.where(new_key[kept], differ[np.cumsum(new_key)[kept] - 1], 0).astype(np.int8)
+    return (*(x[chosen] for x in (key, id_, row, place)), np.append(n[one], count), around[chosen], np.append(mixed[one], told))
 
 
-def _shared(key, id_, row, place, n) -> pa.RecordBatch:
+def _shared(key, id_, row, place, n, around, mixed) -> pa.RecordBatch:
     """The keys of two documents or more; combined rows of a key stand next to each other, the first one first."""
     first = np.flatnonzero(key[1:] == key[:-1])
-    columns = [key[first], n[first], n[first], row[first], place[first], row[first + 1], place[first + 1]]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "n", "copies", "row1", "place1", "row2", "place2"])
+    columns = [key[first], n[first], n[first], row[first], place[first], row[first + 1], place[first + 1], mixed[first] * (n[first] > 2)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "n", "copies", "row1", "place1", "row2", "place2", "mixed"])
 
 
 def _chains(row, place, words, other, there, gone, key, copies) -> pa.RecordBatch:
@@ -176,7 +186,157 @@ def _chains(row, place, words, other, there, gone, key, copies) -> pa.RecordBatc
 _CHAIN = "row long, first long, after long, other long, here long, there long, gone boolean"
 
 
-def _candidates(texts: DataFrame, threshold: float, recall: float, rows: int) -> DataFrame:
+_TIES = ["key", "row", "place", "words", "copies", "row1", "place1", "row2", "place2"]
+
+
+def _copies(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of paragraphs whose key has several surroundings: ties of those that agree in both to the first document that has them, and (row, place, words, long) of the first of each where the key has
+    three surroundings or more. Of two, the one is tied to the other by the key itself."""
+    where = F.struct("id", "row", "place")
+    one = common.written(mixed.groupBy("key", "around").agg(F.min(where).alias("one"), F.first("words").alias("words1")), "paragraph-firsts")
+    named = one.select(F.col("key").alias("key_"), F.col("around").alias("around_"), "one")
+    held = common.written(mixed.join(named, (F.col("key") == F.col("key_")) & (F.col("around") == F.col("around_"))).drop("key_", "around_"), "paragraph-copies")
+    two = held.filter(F.col("row") != F.col("one.row")).groupBy("key", "around").agg(F.min(where).alias("two"), F.count(F.lit(1)).alias("others"))
+    two = common.written(two.withColumnsRenamed({"key": "key_", "around": "around_"}), "paragraph-seconds")
+    told = (F.col("one.row") == F.col("row1")) & (F.col("one.place") == F.col("place1")) & (F.col("two.row") == F.col("row2")) & (F.col("two.place") == F.col("place2"))
+    ties = held.join(two, (F.col("key") == F.col("key_")) & (F.col("around") == F.col("around_"))).filter(~told)
+    ties = ties.select(F.xxhash64("key", "around").alias("key"), "row", "place", "words", (F.col("others") + 1).alias("copies"), F.col("one.row").alias("row1"), F.col("one.place").alias("place1"), F.col("two.row").alias("row2"), F.col("two.place").alias("place2"))
+    several = common.written(one.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").select(F.col("key").alias("key_")), "paragraph-crowds")
+    rest = one.join(several, F.col("key") == F.col("key_")).select("one.row", "one.place", F.col("words1").alias("words"), (F.col("around").bitwiseAND(1) == 1).alias("long"))
+    # written, as the planner takes a join for the product of its sides and packed.shuffle would cut it into as many shards
+    return common.written(ties, "paragraph-ties"), rest.distinct()
+
+
+_PIECE = "row long, id long, long boolean, first int, after int, start long, end long, text string"
+
+
+def _pieces(texts: DataFrame, rest: DataFrame) -> DataFrame:
+    """The words of long paragraphs, and those of all stretches of PASSAGE_WORDS words that hold a short one, stretches that overlap being one."""
+    wanted = common.written(rest.groupBy(F.col("row").alias("row_")).agg(F.collect_list(F.struct("place", "words", "long")).alias("wants")), "piece-wants")
+    seen: set[int] = set()
+    names = ["row", "id", "long", "first", "after", "start", "end", "text"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+
+    def stretches(wants: list[dict], n: int) -> Iterator[tuple[bool, int, int]]:
+        last = None
+        for place, words in sorted((w["place"], w["words"]) for w in wants if not w["long"]):
+            more = max(PASSAGE_WORDS - words, 0)
+            a, b = max(place - more, 0), min(place + words + more, n)
+            if last is not None and a <= last[1]:
+                last = (last[0], max(b, last[1]))
+                continue
+            if last is not None:
+                yield False, *last
+            last = (a, b)
+        if last is not None:
+            yield False, *last
+        yield from ((True, w["place"], w["place"] + w["words"]) for w in wants if w["long"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+        for batch in batches:
+            rows, ids = batch.column("row").to_pylist(), batch.column("id").to_pylist()
+            for block in blocks(batch.column("text")):
+                for k, r in enumerate(block.rows):
+                    if rows[r] in seen:
+                        continue
+                    seen.add(rows[r])
+                    low, n, base = int(block.first[k]), int(block.first[k + 1] - block.first[k]), int(block.offsets[k])
+                    for long, a, b in stretches(batch.column("wants")[int(r)].as_py(), n):
+                        start, end = int(block.starts[low + a]), int(block.ends[low + b - 1])
+                        held.append((rows[r], ids[r], long, a, b, start - base, end - base, block.data[start:end].tobytes().decode()))
+                        size += end - start
+                        if size > 4 << 20:
+                            yield flush()
+                            held, size = [], 0
+        if held:
+            yield flush()
+
+    return common.written(common.map_arrow(texts.join(wanted, F.col("row") == F.col("row_")).select("row", "id", "text", "wants"), cut, _PIECE), "paragraph-pieces")
+
+
+def _same_words(pieces: DataFrame) -> DataFrame:
+    """Ties of all stretches of PASSAGE_WORDS words of the pieces that stand in two documents or more to the first that has them."""
+
+    def stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        row, id_, first = (batch.column(c).to_numpy() for c in ("row", "id", "first"))
+        for block in blocks(batch.column("text")):
+            n = np.maximum(np.diff(block.first) - PASSAGE_WORDS + 1, 0)
+            owner = np.repeat(np.arange(len(n)), n)
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            a, at = block.first[:-1][owner] + within, block.rows[owner]
+            yield runs_hash(block.hashes, a, a + PASSAGE_WORDS).view(np.int64), id_[at], row[at], (first[at] + within).astype(np.int32)
+
+    def holders(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for key, id_, row, place in stretches(batch):
+            yield key, id_, row, place, np.ones(len(key), np.int64), np.zeros(len(key), np.int64), np.zeros(len(key), np.int8)
+
+    def places(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for key, _, row, place in stretches(batch):
+            yield key, row, place, np.full(len(key), PASSAGE_WORDS, np.int32)
+
+    i8, i4, i1 = np.int64, np.int32, np.int8
+    short = pieces.filter("NOT long").select("row", "id", "first", "text")
+    shared = common.written(packed.shuffle(short, holders, _two_first, _shared, (i8, i8, i8, i4, i8, i8, i1), _SHARED).drop("mixed"), "stretch-keys")
+    schema = "key long, row long, place int, words int, copies long, row1 long, place1 int, row2 long, place2 int"
+    return common.written(packed.look_up(short, places, (i8, i8, i4, i4), ["key", "row", "place", "words"], shared, (i8, i8, i4, i8, i4), schema), "stretch-places")
+
+
+def _near_paragraphs(pieces: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """(row, id, first, after, start, end, key, row1, id1, first1, gone): each long paragraph of the pieces with another document's of exact Jaccard >= threshold, the earliest of all such ones; gone: that one is the earlier one."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "id", "first", "after", "start", "end"]
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                values, owners, starts, _ = N.distinct_sets(*shingles(block, WIDTH))
+                cuts = np.append(starts, len(values))
+                signature, items = N.minhash(values, starts, bands * rows), [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                kept = batch.select(names).take(pa.array(block.rows[owners]))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.diff(cuts)), pa.array([x.tobytes() for x in signature], pa.binary()), pa.array(items, pa.binary())], [*names, "size", "signature", "items"])
+
+    long = pieces.filter("long").select("row", "id", "first", "after", "start", "end", "text")
+    signed = common.map_arrow(long, sign, "row long, id long, first int, after int, start long, end long, size long, signature binary, items binary")
+    signed = common.written(signed.withColumn("key", F.xxhash64("row", "first")).dropDuplicates(["key"]), "piece-sets")
+    groups = N.candidate_groups(signed.select("key", "size", "signature"), threshold, bands, rows)
+    groups = common.written(groups.withColumnRenamed("id", "key_").join(signed.select("key", "size"), F.col("key_") == F.col("key")).select("key", "root", "size"), "piece-grouped")
+    groups = common.written(N.with_blocks(groups, "size").drop("size").withColumnRenamed("key", "key_"), "piece-groups")
+    members = signed.join(groups, F.col("key") == F.col("key_")).select("root", "blocks", "key", "id", "row", "signature", "items")
+
+    def earliest(t: pa.Table) -> pa.RecordBatch | None:
+        key, block, id_, row = (t.column(c).to_numpy() for c in ("key", "block", "id", "row"))
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        sig, items = N._signatures(t.column("signature")), t.column("items")
+        sets = [np.frombuffer(items[k].as_buffer(), U) for k in range(len(key))]
+        a, b = (np.arange(len(key)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
+        if not len(a) or not len(b):
+            return None
+        p, q = N.similar_pairs(sig[a], [sets[x] for x in a], sig[b], [sets[x] for x in b], threshold, i == j)
+        p, q = a[p], b[q]
+        p, q = p[row[p] != row[q]], q[row[p] != row[q]]
+        if not len(p):
+            return None
+        own, other = np.append(p, q), np.append(q, p)
+        order = np.lexsort((key[other], row[other], id_[other], own))
+        order = order[np.append(True, own[order][1:] != own[order][:-1])]
+        own, other = own[order], other[order]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[own], id_[other], row[other], key[other])], ["own", "id", "row", "key"])
+
+    found = common.map_arrow(N._block_pairs(members, "root", "key", "id", "row", "signature", "items"), N._by_group(("root", "i", "j"), earliest), "own long, id long, row long, key long")
+    found = common.written(found.groupBy("own").agg(F.min(F.struct("id", "row", "key")).alias("best")), "piece-partners")
+    known = signed.select("row", "id", "first", "after", "start", "end", "key")
+    partner = common.written(known.select(F.col("key").alias("key_"), F.col("first").alias("first1")), "piece-places")
+    near = known.join(found, F.col("key") == F.col("own")).join(partner, F.col("best.key") == F.col("key_"))
+    gone = (F.col("best.id") < F.col("id")) | ((F.col("best.id") == F.col("id")) & (F.col("best.row") < F.col("row")))
+    return common.written(near.select("row", "id", "first", "after", "start", "end", "key", F.col("best.row").alias("row1"), F.col("best.id").alias("id1"), "first1", gone.alias("gone")), "near-paragraphs")
+
+
+_SHARED = "key long, n long, copies long, row1 long, place1 int, row2 long, place2 int, mixed byte"
+
+
+def _candidates(texts: DataFrame, threshold: float, recall: float, rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Candidates, and the near paragraphs among them that are known to reach the threshold."""
     bands = N.tune(threshold, recall, rows)
 
     def paragraphs(batch: pa.RecordBatch, sent: set[int]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -186,25 +346,39 @@ def _candidates(texts: DataFrame, threshold: float, recall: float, rows: int) ->
             batch = batch.filter(pa.array(fresh))
         ids, first = batch.column("row").to_numpy(), batch.column("id").to_numpy()
         for block in blocks(batch.column("text")):
-            key, text, place, words = collision_keys(block, bands, rows)
+            key, text, place, words, around = collision_keys(block, bands, rows)
             at = block.rows[text]
-            yield key, first[at], ids[at], place, words
+            yield key, first[at], ids[at], place, words, around
 
     counted, listed = set(), set()  # each task has its own
 
     def holders(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        for key, id_, row, place, _ in paragraphs(batch, counted):
-            yield key, id_, row, place, np.ones(len(key), np.int64)
+        for key, id_, row, place, _, around in paragraphs(batch, counted):
+            yield key, id_, row, place, np.ones(len(key), np.int64), around, np.zeros(len(key), np.int8)
 
     def places(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        for key, _, row, place, words in paragraphs(batch, listed):
-            yield key, row, place, words
-
-    i8, i4 = np.int64, np.int32
-    shared = packed.shuffle(texts, holders, _two_first, _shared, (i8, i8, i8, i4, i8), "key long, n long, copies long, row1 long, place1 int, row2 long, place2 int")
-    shared = common.written(shared, "paragraph-keys")
-    schema = "key long, row long, place int, words int, copies long, row1 long, place1 int, row2 long, place2 int"
-    found = common.written(packed.look_up(texts, places, (i8, i8, i4, i4), ["key", "row", "place", "words"], shared, (i8, i8, i4, i8, i4), schema), "paragraph-places")
+        for key, id_, row, place, words, around in paragraphs(batch, listed):
+            yield key, row, place, words, id_, around
+
+    i8, i4, i1 = np.int64, np.int32, np.int8
+    shared = common.written(packed.shuffle(texts, holders, _two_first, _shared, (i8, i8, i8, i4, i8, i8, i1), _SHARED), "paragraph-keys")
+    schema = "key long, row long, place int, words int, id long, around long, copies long, row1 long, place1 int, row2 long, place2 int, mixed byte"
+    found = packed.look_up(texts, places, (i8, i8, i4, i4, i8, i8), ["key", "row", "place", "words", "id", "around"], shared, (i8, i8, i4, i8, i4, i1), schema)
+    mixed = F.col("mixed") == 1
+    found = common.written(found.withColumn("id", F.when(mixed, F.col("id"))).withColumn("around", F.when(mixed, F.col("around"))), "paragraph-places")
+    ties, near = found.select(*_TIES), None
+    # whom the first document of a key doesn't resemble is tied to the first copy of its surroundings, and these to each other
+    some = found.filter(mixed)
+    if some.head(1):
+        copies, rest = _copies(some)
+        ties = ties.union(copies.select(*_TIES))
+        rest = common.written(rest, "paragraph-rest")
+        if rest.head(1):
+            pieces = _pieces(texts, rest)
+            near = _near_paragraphs(pieces, threshold, bands, rows)
+            ends = [F.when(F.col("gone"), F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("row1", "row", "row1"), ("first1", "first", "place1"), ("row", "row1", "row2"), ("first", "first1", "place2"))]
+            told = near.select("key", "row", F.col("first").alias("place"), (F.col("after") - F.col("first")).alias("words"), F.lit(2).cast("long").alias("copies"), *ends)
+            ties = ties.union(_same_words(pieces).select(*_TIES)).union(told.select(*_TIES))
 
     def joined(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         c = {name: batch.column(name).to_numpy() for name in batch.schema.names}
@@ -212,7 +386,7 @@ def _candidates(texts: DataFrame, threshold: float, recall: float, rows: int) ->
         yield c["row"], c["place"], c["words"], np.where(own, c["row2"], c["row1"]), np.where(own, c["place2"], c["place1"]), (~own).astype(np.int8), c["key"], c["copies"]
 
     same = lambda *columns: columns
-    return common.written(packed.shuffle(found, joined, same, _chains, (i8, i4, i4, i8, i4, np.int8, i8, i8), _CHAIN), "passage-candidates")
+    return common.written(packed.shuffle(ties, joined, same, _chains, (i8, i4, i4, i8, i4, i1, i8, i8), _CHAIN), "passage-candidates"), near
 
 
 _SLICE = "own boolean, row long, id long, base long, first long, other long, here long, there long, gone boolean, text string"
@@ -284,8 +458,8 @@ def _whole(text: pa.Array) -> Block:
     return Block(found[3], found[2], np.arange(len(text)), False)
 
 
-def passages(here: pa.Array, there: pa.Array, shift: np.ndarray, threshold: float = THRESHOLD, least: int = PASSAGE_WORDS) -> Iterator[tuple[int, int, int, int, int]]:
-    """(pair, first word, word after, first byte, byte after) in ``here`` of the passages that two texts share; word k of here is laid to word k + shift of there."""
+def passages(here: pa.Array, there: pa.Array, shift: np.ndarray, threshold: float = THRESHOLD, least: int = PASSAGE_WORDS) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(pair, first word, word after, first byte, byte after) in ``here`` of the passages that two texts share, and the middle word of each in ``there``; word k of here is laid to word k + shift of there."""
     x, y = _whole(here), _whole(there)
 
     def windows(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -324,7 +498,7 @@ def passages(here: pa.Array, there: pa.Array, shift: np.ndarray, threshold: floa
             both = len(np.intersect1d(a, b))
             if both >= threshold * (len(np.unique(a)) + len(np.unique(b)) - both) - 1e-9:
                 low, high = x.first[pair] + s, x.first[pair] + e + WIDTH
-                yield pair, s, e + WIDTH, int(x.starts[low] - x.offsets[pair]), int(x.ends[high - 1] - x.offsets[pair])
+                yield pair, s, e + WIDTH, int(x.starts[low] - x.offsets[pair]), int(x.ends[high - 1] - x.offsets[pair]), (t + u + WIDTH) // 2
 
 
 _FOUND = "row long, id long, first long, after long, start long, end long, removed boolean, first_id long, other long, there long"
@@ -343,8 +517,8 @@ def _verified(slices: DataFrame, threshold: float, least: int) -> DataFrame:
                 found = list(passages(batch.column("text"), batch.column("text_"), shift, threshold, least))
                 if not found:
                     continue
-                pair, a, b, s, e = (np.array(x, np.int64) for x in zip(*found, strict=True))
-                columns = [c["row"][pair], c["id"][pair], c["first"][pair] + a, c["first"][pair] + b, c["base"][pair] + s, c["base"][pair] + e, c["gone"][pair], np.where(c["gone"][pair], c["id_"][pair], c["id"][pair]), c["other"][pair], c["there"][pair]]
+                pair, a, b, s, e, middle = (np.array(x, np.int64) for x in zip(*found, strict=True))
+                columns = [c["row"][pair], c["id"][pair], c["first"][pair] + a, c["first"][pair] + b, c["base"][pair] + s, c["base"][pair] + e, c["gone"][pair], np.where(c["gone"][pair], c["id_"][pair], c["id"][pair]), c["other"][pair], c["first_"][pair] + middle]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "id", "first", "after", "start", "end", "removed", "first_id", "other", "there"])
 
     names = ["row", "id", "base", "first", "here", "there", "gone", "other", "text", "first_", "id_", "text_"]
@@ -356,7 +530,12 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     (false for first copies), row_id (``common.row_id``). A document's overlapping passages are one. least_words: PASSAGE_WORDS or more, as shorter passages may hold no whole paragraph."""
     text = docs[f"`{text_col}`"]
     texts = docs.select(F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit(NO_ID)).alias("id"), common.row_id(docs, id_col, text_col).alias("row"), text.alias("text")).filter(text.isNotNull())
-    found = _verified(_slices(texts, _candidates(texts, threshold, recall, rows)), threshold, least_words)
+    chains, near = _candidates(texts, threshold, recall, rows)
+    found = _verified(_slices(texts, chains), threshold, least_words)
+    if near is not None:
+        whole = near.filter(F.col("after") - F.col("first") >= least_words)
+        words = [F.col(c).cast("long").alias(c) for c in ("first", "after")]
+        found = found.union(whole.select("row", "id", *words, "start", "end", F.col("gone").alias("removed"), F.when(F.col("gone"), F.col("id1")).otherwise(F.col("id")).alias("first_id"), F.col("row1").alias("other"), F.col("first1").cast("long").alias("there")))
     before = F.max("after").over(W.partitionBy("row", "removed").orderBy("first", "after").rowsBetween(W.unboundedPreceding, -1))
     found = found.withColumn("new", F.coalesce((F.col("first") > before).cast("int"), F.lit(0)))
     found = found.withColumn("part", F.sum("new").over(W.partitionBy("row", "removed").orderBy("first", "after").rowsBetween(W.unboundedPreceding, 0)))

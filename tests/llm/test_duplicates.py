@@ -164,6 +164,46 @@ def test_substrings_find_edited_passages(spark):
     assert len({r.doc_id for r in got}) >= 0.95 * len(rows)
 
 
+@pytest.mark.parametrize("hot", [2048, 0])
+def test_substrings_beyond_the_first_document_of_a_paragraph(spark, monkeypatch, hot):
+    """The first document has all short paragraphs of a passage, at several places, but no fifty words of it in a row; two or three later ones share the passage, or different parts of it."""
+    monkeypatch.setattr(packed, "HOT_ROWS", hot)
+    rng = random.Random(31)
+    rows, glue = [], lambda: words(rng, 30)
+    line = words(rng, 14)
+    for k in range(25):
+        w = words(rng, rng.randint(55, 110)).split(" ")
+        parts = [" ".join(w[i : i + 44]) for i in range(0, len(w), 7)]
+        rows += [(10 * k, " ".join(f"{part} {glue()}" for part in parts)), (10 * k + 1, f"{glue()} {' '.join(w)} {glue()}"), (10 * k + 2, f"{glue()} {' '.join(w)} {glue()}")]
+        rows += [(10 * k + 3, f"{glue()} {' '.join(w[:52])} {glue()}"), (10 * k + 4, f"{glue()} {' '.join(w[-51:])} {glue()}")]
+        # a line that all have, in surroundings that two of them share
+        both = f"{words(rng, 20)} {line} {words(rng, 18)}"
+        rows += [(10 * k + n, f"{glue()}\n{both if n > 6 else line}\n{glue()}") for n in (5, 6, 7, 8)]
+    want = {rows[k][0] for k in shared_passages(rows)}
+    got = substring_dedup.repeated_passages(documents(spark, [(i, t, None, None) for i, t in rows])).collect()
+    assert {r.doc_id for r in got} == want and {i % 10 for i in want} == {1, 2, 3, 4, 7, 8}
+    assert {r.doc_id for r in got if r.removed} == {i for i in want if i % 10 in (2, 3, 4, 8)}
+    assert all(r.n_words >= 52 for r in got if r.doc_id % 10 == 8) and len({r.class_id for r in got}) == 50
+
+
+def test_substrings_find_edited_passages_among_others_alike(spark):
+    """Two paragraphs of sixty words that differ in one word, after thirty others that differ from them in two words or more (Jaccard 0.7 at most)."""
+    rng = random.Random(32)
+    rows, n = [], 8
+
+    def changed(w, *at):
+        return " ".join(f"changed{rng.randrange(10**9)}" if i in at else x for i, x in enumerate(w))
+
+    for k in range(n):
+        w = words(rng, 60).split(" ")
+        for m in range(30):
+            rows.append((100 * k + m, f"{words(rng, 50)}\n{changed(w, rng.randint(12, 25), rng.randint(34, 47))}\n{words(rng, 50)}"))
+        rows += [(100 * k + 50 + m, f"{words(rng, 50)}\n{changed(w, *at)}\n{words(rng, 50)}") for m, at in enumerate(((), (30,)))]
+    got = substring_dedup.repeated_passages(documents(spark, [(i, t, None, None) for i, t in rows])).collect()
+    assert {r.doc_id for r in got} == {100 * k + 50 + m for k in range(n) for m in (0, 1)}
+    assert {r.doc_id for r in got if r.removed} == {100 * k + 51 for k in range(n)} and len({r.class_id for r in got}) == n
+
+
 def brute_similarity(item, text):
     a, b = [[w.lower() for w in WORD.findall(x or "")] for x in (item, text)]
     best, above = 0.0, [0.0] * (len(b) + 1)
