@@ -192,11 +192,18 @@ _TIES = ["key", "row", "place", "words", "copies", "row1", "place1", "row2", "pl
 def _copies(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of paragraphs whose key has several surroundings: ties of those that agree in both to the first document that has them, and (row, place, words, long) of the first of each where the key has
     three surroundings or more. Of two, the one is tied to the other by the key itself."""
+    # successive paragraphs of a text that agree in both, as in a run of a few words repeated, are one; around holds all words of a paragraph, so words is the same for all that agree
+    own = W.partitionBy("key", "around", "row").orderBy("place")
+    new = F.coalesce((F.col("place") >= F.lag(F.col("place") + F.col("words")).over(own)).cast("int"), F.lit(0))
+    runs = mixed.withColumn("new", new).withColumn("run", F.sum("new").over(own)).groupBy("key", "around", "row", "run")
+    same = [F.first(c).alias(c) for c in ("id", "row1", "place1", "row2", "place2")]
+    runs = runs.agg(F.min("place").alias("place"), (F.max("place") - F.min("place") + F.first("words")).alias("words"), F.first("words").alias("each"), F.count(F.lit(1)).alias("times"), *same)
+    runs = common.written(runs.drop("run"), "paragraph-runs")
     where = F.struct("id", "row", "place")
-    one = common.written(mixed.groupBy("key", "around").agg(F.min(where).alias("one"), F.first("words").alias("words1")), "paragraph-firsts")
+    one = common.written(runs.groupBy("key", "around").agg(F.min(where).alias("one"), F.first("each").alias("words1")), "paragraph-firsts")
     named = one.select(F.col("key").alias("key_"), F.col("around").alias("around_"), "one")
-    held = common.written(mixed.join(named, (F.col("key") == F.col("key_")) & (F.col("around") == F.col("around_"))).drop("key_", "around_"), "paragraph-copies")
-    two = held.filter(F.col("row") != F.col("one.row")).groupBy("key", "around").agg(F.min(where).alias("two"), F.count(F.lit(1)).alias("others"))
+    held = common.written(runs.join(named, (F.col("key") == F.col("key_")) & (F.col("around") == F.col("around_"))).drop("key_", "around_"), "paragraph-copies")
+    two = held.filter(F.col("row") != F.col("one.row")).groupBy("key", "around").agg(F.min(where).alias("two"), F.sum("times").alias("others"))
     two = common.written(two.withColumnsRenamed({"key": "key_", "around": "around_"}), "paragraph-seconds")
     told = (F.col("one.row") == F.col("row1")) & (F.col("one.place") == F.col("place1")) & (F.col("two.row") == F.col("row2")) & (F.col("two.place") == F.col("place2"))
     ties = held.join(two, (F.col("key") == F.col("key_")) & (F.col("around") == F.col("around_"))).filter(~told)

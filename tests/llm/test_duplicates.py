@@ -204,6 +204,31 @@ def test_substrings_find_edited_passages_among_others_alike(spark):
     assert {r.doc_id for r in got if r.removed} == {100 * k + 51 for k in range(n)} and len({r.class_id for r in got}) == n
 
 
+def test_substrings_in_runs_of_a_word_pair(spark, monkeypatch):
+    """A pair of words repeated for hundreds of words makes a paragraph every other word; documents that hold it are tied once for each run, not for each paragraph, and all runs are found whole."""
+    rng = random.Random(33)
+    ties, written = [], common.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "paragraph-ties":
+            ties.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    pair, n = words(rng, 2), 20
+    # the first document has the pair for fewer words, and two documents have two runs
+    rows = [(0, f"{words(rng, 40)} {' '.join([pair] * 20)} {words(rng, 40)}")]
+    runs = lambda k: [100] * (2 if k in (5, 6) else 1)
+    rows += [(k, f"{words(rng, 40)} " + " ".join(f"{' '.join([pair] * m)} {words(rng, 90)}" for m in runs(k))) for k in range(1, n + 1)]
+    got = substring_dedup.repeated_passages(documents(spark, [(i, t, None, None) for i, t in rows])).collect()
+    assert sum(ties) <= 8 * n
+    for k in range(2, n + 1):
+        found = [r for r in got if r.doc_id == k and r.removed]
+        assert [r.n_words >= 200 for r in found] == [True] * len(runs(k))
+    assert not [r for r in got if r.doc_id == 1 and r.removed]
+
+
 def brute_similarity(item, text):
     a, b = [[w.lower() for w in WORD.findall(x or "")] for x in (item, text)]
     best, above = 0.0, [0.0] * (len(b) + 1)
