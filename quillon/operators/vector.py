@@ -147,8 +147,13 @@ def prefer_inverted_lists(n: int) -> bool:
     return n >= 50_000
 
 
-def search(base: DataFrame, queries: DataFrame, k: int, where: Column | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, distance, rank): exact search of small tables, inverted lists for large ones. A filter runs first, so there are k hits whenever k rows match; it widens what is measured exactly as few rows pass."""
+def search(base: DataFrame, queries: DataFrame, k: int, where: Column | None = None, id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = False) -> DataFrame:
+    """(query_id, id, distance, rank): exact search of small tables, inverted lists for large ones. A filter runs first, so there are k hits whenever k rows match; it widens what is measured exactly as few rows pass.
+
+    exact: the very nearest at any size. Lists only ever give most of them.
+    """
+    if exact:
+        return knn(base if where is None else base.filter(where), queries, k, id_col=id_col, vec_col=vec_col)
     total = base.count()
     rows = base if where is None else base.filter(where)
     n = total if where is None else rows.count()
